@@ -1,6 +1,11 @@
 """The queries opN_<name>, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import simhash
+from . import linededup, media, simhash, tokens
 
-QUERIES = {"op10_simhash": simhash.op10_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op4_token_files": tokens.op4_token_files,
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_media": media.op7_media,
+    "op10_simhash": simhash.op10_simhash,
+}
+ORACLE: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
