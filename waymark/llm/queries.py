@@ -1,11 +1,13 @@
 """The queries opN_<name>, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import linededup, media, simhash, tokens
+from . import langid, linededup, media, mixing, simhash, tokens
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op4_token_files": tokens.op4_token_files,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_media": media.op7_media,
+    "op8_language_id": langid.op8_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op6_line_dedup": linededup.ORACLE}
