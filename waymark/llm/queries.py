@@ -1,8 +1,9 @@
 """The queries opN_<name>, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import langid, linededup, media, mixing, simhash, tokens
+from . import langid, linededup, media, mixing, pii, simhash, tokens
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_files": tokens.op4_token_files,
     "op6_line_dedup": linededup.op6_line_dedup,
