@@ -35,8 +35,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("size"
 FILE_BYTES = 32 << 20
 #: The dictionary is trained on about so many documents, picked by a hash of doc_id, and on so many bytes of ids at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 24 << 20, 112_640
-#: Words kept with their ids in each Python worker.
-WORDS_KEPT = 300_000
+#: Words kept with their ids in each Python worker, first come; frequent words come early.
+WORDS_KEPT = 500_000
 END_ID = 1
 
 #: Text of these characters alone is cut into words here, as the tokenizer's own normalizer and pattern would cut it.
@@ -53,23 +53,35 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of texts as little-endian u32 bytes. Words that were seen are looked up; new ones go to the tokenizer together."""
+    """Ids of texts as little-endian u32 bytes. Chunks between blanks and words in them are looked up; new words go to the tokenizer together."""
 
     def __init__(self, path: str):
         self.tokenizer, self.ids = _tokenizer(path), {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_WORD.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        new = {w for words in cut if words for w in words}.difference(self.ids)
-        if len(self.ids) + len(new) > WORDS_KEPT:
-            self.ids = {}
-            new = {w for words in cut if words for w in words}
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            for w, e in zip(new[at : at + 4096], self.tokenizer.encode_batch(new[at : at + 4096], add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
+        ids = self.ids
+        cut = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        fresh: set[str] = set()
+        for chunks in cut:
+            if chunks:
+                fresh.update(set(chunks).difference(ids))
+        new = list(fresh)
+        parts = list(map(_WORD.findall, new))
+        words = {w for p in parts for w in p}.difference(ids)
+        kept = max(0, WORDS_KEPT - len(ids))
+        words = list(words)
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids[w] = np.array(e.ids, "<u4").tobytes()
+        get = ids.__getitem__
+        for chunk, p in zip(new, parts):
+            if len(p) != 1:
+                ids[chunk] = b"".join(map(get, p))
+        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut)]
+        for w in (words + new)[kept:]:
+            ids.pop(w, None)
+        return out
 
 
 @lru_cache(1)
