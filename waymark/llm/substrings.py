@@ -1,6 +1,6 @@
 """Substring deduplication by hashes of lines and of the sentences of long lines.
 
-Units: every line; a line of more than LINE_WORDS words is cut after each sentence end. A unit is normalised to its lower-case
+Units: every line; a line of more than LINE_WORDS words is cut after each sentence end that makes a unit of UNIT_WORDS words. A unit is normalised to its lower-case
 words. Digests (128 bits) of units of UNIT_WORDS words or more are grouped over the whole corpus and the occurrence that ranks
 first (smallest doc_id, then place) stays. Repeated units that follow one another (units of fewer words between them do not count)
 make a passage, and passages of PASSAGE_WORDS words or more are removed; their places in the original text are the result.
@@ -34,9 +34,12 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
         if len(words) <= LINE_WORDS:
             out.append((line.start(), line.end(), words))
             continue
-        base = line.start()
+        base, at, have = line.start(), 0, []
         for s in _SENTENCE.finditer(line[0]):
-            out.append((base + s.start(), base + s.end(), _WORD.findall(s[0].lower())))
+            have += _WORD.findall(s[0].lower())
+            if len(have) >= UNIT_WORDS or s.end() == len(line[0]):
+                out.append((base + at, base + s.end(), have))
+                at, have = s.end(), []
     return out
 
 
