@@ -1,8 +1,9 @@
 """The queries opN_<name>, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import decontaminate, langid, linededup, media, mixing, pii, simhash, substrings, tokens
+from . import decontaminate, langid, linededup, media, mixing, pii, quality, simhash, substrings, tokens
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_files": tokens.op4_token_files,
