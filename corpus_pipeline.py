@@ -1,8 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicates, benchmark decontamination, mixing, token files.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written as Parquet and reread as the next one's docs.
+All but the last return the columns of documents.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from waymark.llm import decontaminate, langid, mixing, simhash, tokens
+from waymark.llm.common import documents, materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    return langid.keep_known(docs).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of every group of near copies."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their sources' weights ask, in a global shuffle; copies share a doc_id."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the mixed corpus, read back from token files."""
+    return tokens.round_trip(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing_to_weights),
+    ("token-ID output", token_files),
+]
+
+#: Learned weights, connected components and alignments can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{k}")
+    return docs
