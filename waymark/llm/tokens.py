@@ -36,7 +36,7 @@ FILE_BYTES = 32 << 20
 #: The dictionary is trained on about so many documents, picked by a hash of doc_id, and on so many bytes of ids at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 24 << 20, 112_640
 #: Words kept with their ids in each Python worker, first come; frequent words come early.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 800_000
 END_ID = 1
 
 #: Text of these characters alone is cut into words here, as the tokenizer's own normalizer and pattern would cut it.
@@ -91,7 +91,7 @@ def _encoder(path: str) -> WordEncoder:
 
 def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     end, encoder = struct.pack("<I", end_id), _encoder(tokenizer)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 16 << 20):
         yield batch.column("doc_id"), [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
 
 
@@ -188,7 +188,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int =
     with system.open_output_stream(f"{root}/dictionary") as out:
         out.write(dictionary)
     frames = docs.select("doc_id", "text").mapInArrow(partial(_frame_batches, tokenizer=tokenizer, end_id=end_id, dictionary=dictionary, width=width), "doc_id long, n_tokens long, crc long, frame binary")
-    frames = materialize(frames, "token-frames").withColumn("row", F.monotonically_increasing_id())
+    frames = materialize(frames, "token-frames", "none").withColumn("row", F.monotonically_increasing_id())
     order = ["doc_id", "crc", "row"]
     dealt = frames.repartitionByRange(*order).sortWithinPartitions(*order)
     files = dealt.mapInArrow(partial(_write_batches, folder=folder, digest=digest, width=width), "part long, seq long, file string, docs long, tokens long")
