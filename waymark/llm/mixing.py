@@ -67,8 +67,9 @@ def replicate(docs: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:
         salted = steps.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = docs.withColumn("_own", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
     u = uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
-    met = met.withColumn("_u", u)
-    return met.withColumn("copies", F.size(F.filter("_cdf", lambda c: F.col("_u") >= c))).drop("_s", "_cdf", "_u").filter("copies > 0")
+    # a lambda's own variable holds u, so the text is hashed once for each row and not for each step
+    drawn = F.get(F.transform(F.array(u), lambda x: F.size(F.filter("_cdf", lambda c: x >= c))), F.lit(0))
+    return met.withColumn("copies", drawn).drop("_s", "_cdf").filter("copies > 0")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, seed: int = 17) -> DataFrame:
@@ -77,7 +78,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     drawn = replicate(docs, rates(docs, weights, alpha), seed)
     key = _bits("shuffle", seed, F.col("doc_id"), F.col("copy"))
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies").withColumn("mix_key", key)
-    return copies.repartitionByRange("mix_key", "doc_id", "copy").sortWithinPartitions("mix_key", "doc_id", "copy")
+    # keys are uniform, so equal ranges of them are equal shares: no pass to sample range bounds
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = copies.repartitionById(n, (F.col("mix_key") / F.lit(float(1 << 48)) * n).cast("int"))
+    return dealt.sortWithinPartitions("mix_key", "doc_id", "copy")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
