@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .temporal import STREAM
+from .temporal import stream
 
 TAGS = ("ele_missing", "ele_unparsable", "ele_out_of_bounds", "ele_adjacent_duplicate")
 
@@ -17,7 +17,7 @@ def labels(points: DataFrame, floor: float = -500.0, ceiling: float = 9500.0) ->
     out = points.withColumns({
         "ele_missing": ele.isNull() & absent, "ele_unparsable": ele.isNull() & ~absent, "ele_out_of_bounds": flag((ele < floor) | (ele > ceiling)),
         "_ele": F.when(ele.between(floor, ceiling) & ~flag(F.col("ele_absent")), ele)})
-    return out.withColumn("ele_adjacent_duplicate", flag(F.col("_ele") == F.lag("_ele").over(STREAM))).drop("_ele")
+    return out.withColumn("ele_adjacent_duplicate", flag(F.col("_ele") == F.lag("_ele").over(stream()))).drop("_ele")
 
 
 def counts(labelled: DataFrame, *by: str) -> DataFrame:

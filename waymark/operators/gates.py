@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .presegment import KEYS, SEG
+from .presegment import KEYS, in_segment
 
 
 def overlap_blocks(blocks: DataFrame, spine_points: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def corridor_conflicts(inserts: DataFrame) -> DataFrame:
 
 def _roles(points: DataFrame, inserts: DataFrame, overlap: DataFrame) -> DataFrame:
     """key, gpx, role and rank: points that a proposal leaves (neighbours) or refers to (bracket, in order)."""
-    near = points.select(*KEYS, "gpx_index", F.lag("gpx_index").over(SEG).alias("_p"), F.lead("gpx_index").over(SEG).alias("_n"))
+    near = points.select(*KEYS, "gpx_index", F.lag("gpx_index").over(in_segment()).alias("_p"), F.lead("gpx_index").over(in_segment()).alias("_n"))
     one = inserts.filter("not is_edge").select(*KEYS, "key", F.explode("members").alias("gpx_index"))
     leave = one.join(near, [*KEYS, "gpx_index"]).select(*KEYS, "key", F.explode(F.array("_p", "_n")).alias("gpx"))
     block = overlap.select(*KEYS, F.concat(F.lit("block:"), F.col("first_gpx").cast("string")).alias("key"), "first_gpx", "last_gpx", "prev_gpx", "next_gpx")

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_HOUR, same_utc_day, usable
 
-SEG = Window.partitionBy("track_id", "trk_seg_index").orderBy("gpx_index")
+def in_segment():
+    """The window of a segment in stream order."""
+    return Window.partitionBy("track_id", "trk_seg_index").orderBy("gpx_index")
+
+
 KEYS = ["track_id", "trk_seg_index"]
 MIN_COVERAGE, ZONE_TOLERANCE = 0.8, 0.1
 #: Reasons and kinds as the output documents name them (fixed values).
@@ -32,7 +36,7 @@ def participation(context: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
 def immediate_pairs(points: DataFrame) -> DataFrame:
     """For each segment the pairs of usable times of rows next to each other (a row without one breaks the chain)."""
     t = F.when(usable("time_ms"), F.col("time_ms"))
-    out = points.withColumn("_t", t).withColumn("_p", F.lag("_t").over(SEG))
+    out = points.withColumn("_t", t).withColumn("_p", F.lag("_t").over(in_segment()))
     return out.groupBy(*KEYS).agg(
         F.count("_t").alias("parseable"), F.count_if(F.col("_t").isNotNull() & F.col("_p").isNotNull()).alias("pairs"),
         F.count_if(F.col("_t") > F.col("_p")).alias("positive_pairs"), F.count_if(F.col("_t") < F.col("_p")).alias("falling_pairs"))
@@ -86,7 +90,7 @@ def ele_class(ele: Column, absent: Column, floor: float = -500.0, ceiling: float
 def objective_pairs(points: DataFrame) -> DataFrame:
     """Neighbours (by index, in one segment) equal in time and place: keep, drop, action. Actions: drop, drop_clear (the survivor's
     elevation is cleared), mismatch (both stay), none (absent beside out of bounds)."""
-    prev = {f"p_{c}": F.lag(c).over(SEG) for c in ("gpx_index", "time_ms", "lat", "lon", "ele", "ele_absent")}
+    prev = {f"p_{c}": F.lag(c).over(in_segment()) for c in ("gpx_index", "time_ms", "lat", "lon", "ele", "ele_absent")}
     same = (F.col("gpx_index") == F.col("p_gpx_index") + 1) & usable("time_ms") & (F.col("time_ms") == F.col("p_time_ms")) & (F.col("lat") == F.col("p_lat")) & (F.col("lon") == F.col("p_lon"))
     out = points.withColumns(prev).filter(same)
     out = out.withColumn("pe", ele_class(F.col("p_ele"), F.col("p_ele_absent"))).withColumn("ce", ele_class(F.col("ele"), F.col("ele_absent")))
@@ -123,7 +127,7 @@ def idle_segments(summary: DataFrame, points: DataFrame) -> DataFrame:
 
 def _falling(points: DataFrame) -> DataFrame:
     """For each segment: usable times, whether they fall strictly from one to the next, and their range."""
-    timed = points.filter(usable("time_ms")).withColumn("_p", F.lag("time_ms").over(SEG))
+    timed = points.filter(usable("time_ms")).withColumn("_p", F.lag("time_ms").over(in_segment()))
     falls = timed.groupBy(*KEYS).agg(F.count_if(F.col("time_ms") >= F.col("_p")).alias("_up"), F.min("time_ms").alias("lo"), F.max("time_ms").alias("hi"))
     every = points.groupBy(*KEYS).agg(F.count("*").alias("n"))
     return every.join(falls, KEYS, "left").withColumn("falls", F.coalesce(F.col("_up") == 0, F.lit(True))).drop("_up")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import usable
-from .presegment import KEYS, SEG
+from .presegment import KEYS, in_segment
 
 
 def _ele() -> Column:
@@ -22,7 +22,7 @@ def _edge(lo: Column, hi: Column) -> Column:
 def _islands(labelled: DataFrame) -> DataFrame:
     """Points below the anchor with run, a number for each unbroken run of them in a segment."""
     flag = Window.partitionBy(*KEYS, "below_anchor").orderBy("gpx_index")
-    out = labelled.withColumn("run", F.row_number().over(SEG) - F.row_number().over(flag)).filter("below_anchor")
+    out = labelled.withColumn("run", F.row_number().over(in_segment()) - F.row_number().over(flag)).filter("below_anchor")
     return out.withColumn("_n", F.count("*").over(Window.partitionBy(*KEYS, "run")))
 
 
@@ -40,7 +40,7 @@ def blocks(labelled: DataFrame, env: DataFrame) -> DataFrame:
 def brackets(points: DataFrame) -> DataFrame:
     """points with prev and next: struct(gpx, ms) of the nearest usable times around them in their segment."""
     spot = F.when(usable("time_ms"), F.struct(F.col("gpx_index").alias("gpx"), F.col("time_ms").alias("ms")))
-    before, after = SEG.rowsBetween(Window.unboundedPreceding, -1), SEG.rowsBetween(1, Window.unboundedFollowing)
+    before, after = in_segment().rowsBetween(Window.unboundedPreceding, -1), in_segment().rowsBetween(1, Window.unboundedFollowing)
     return points.withColumn("_spot", spot).withColumns({"prev": F.last("_spot", True).over(before), "next": F.first("_spot", True).over(after)}).drop("_spot")
 
 
@@ -55,7 +55,7 @@ def singletons(labelled: DataFrame, env: DataFrame) -> DataFrame:
 def exact_drops(points: DataFrame) -> DataFrame:
     """Neighbours in a segment that are equal in time, place and elevation: keep, drop."""
     own = points.withColumn("_e", _ele())
-    prev = {f"p_{c}": F.lag(c).over(SEG) for c in ("gpx_index", "time_ms", "lat", "lon", "_e")}
+    prev = {f"p_{c}": F.lag(c).over(in_segment()) for c in ("gpx_index", "time_ms", "lat", "lon", "_e")}
     same = usable("time_ms") & (F.col("time_ms") == F.col("p_time_ms")) & (F.col("lat") == F.col("p_lat")) & (F.col("lon") == F.col("p_lon")) & F.col("_e").eqNullSafe(F.col("p__e"))
     return own.withColumns(prev).filter(same).select(*KEYS, F.col("p_gpx_index").alias("keep"), F.col("gpx_index").alias("drop"))
 
@@ -70,8 +70,8 @@ def same_time_groups(points: DataFrame, env: DataFrame) -> DataFrame:
     timed = points.filter(usable("time_ms")).join(dropped, ["track_id", "gpx_index"], "left")
     group = F.when(F.col("_dropped"), -1 - F.col("gpx_index")).otherwise(F.col("time_ms"))
     timed = timed.withColumn("_e", _ele()).withColumn("_g", group)
-    timed = timed.withColumn("prev", F.lag(F.struct("gpx_index", "time_ms")).over(SEG))
-    timed = timed.withColumn("_new", F.coalesce(F.lag("_g").over(SEG) != F.col("_g"), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(SEG))
+    timed = timed.withColumn("prev", F.lag(F.struct("gpx_index", "time_ms")).over(in_segment()))
+    timed = timed.withColumn("_new", F.coalesce(F.lag("_g").over(in_segment()) != F.col("_g"), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(in_segment()))
     runs = timed.groupBy(*KEYS, "_run").agg(F.min(F.struct("gpx_index", "time_ms")).alias("_at"))
     runs = runs.withColumn("next", F.lead("_at").over(Window.partitionBy(*KEYS).orderBy("_run"))).drop("_at")
     members = timed.filter("_dropped is null")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_m
-from .temporal import STREAM
+from .temporal import stream
 
 #: A step joins a cluster if it differs from the cluster's median by less than this share.
 ALPHA = 0.02
@@ -14,7 +14,7 @@ ALPHA = 0.02
 
 def edges(points: DataFrame) -> DataFrame:
     """track_id, from_gpx, to_gpx, from_seg, to_seg, dt_ms, dd_m, both_ele_ok and the times and elevations of both ends."""
-    prev = {f"from_{c}": F.lag(c).over(STREAM) for c in ("gpx_index", "trk_seg_index", "time_ms", "lat", "lon", "ele")}
+    prev = {f"from_{c}": F.lag(c).over(stream()) for c in ("gpx_index", "trk_seg_index", "time_ms", "lat", "lon", "ele")}
     out = points.withColumns(prev).filter(F.col("from_gpx_index") == F.col("gpx_index") - 1)
     return out.select(
         "track_id", F.col("from_gpx_index").alias("from_gpx"), F.col("gpx_index").alias("to_gpx"), F.col("from_trk_seg_index").alias("from_seg"), F.col("trk_seg_index").alias("to_seg"),

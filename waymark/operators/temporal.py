@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import usable
 
 TAGS = ("missing", "unparsable", "adjacent_duplicate", "below_anchor", "below_prev_valid", "non_adjacent_repeat")
-STREAM = Window.partitionBy("track_id").orderBy("gpx_index")
+
+
+def stream():
+    """The window of a track in stream order."""
+    return Window.partitionBy("track_id").orderBy("gpx_index")
 
 
 def labels(points: DataFrame) -> DataFrame:
@@ -16,9 +20,9 @@ def labels(points: DataFrame) -> DataFrame:
     t, g = F.col("time_ms"), F.col("gpx_index")
     absent = F.coalesce("time_absent", t.isNull())
     out = points.withColumns({
-        "anchor_ms": F.max("time_ms").over(STREAM.rowsBetween(Window.unboundedPreceding, -1)),
-        "_prev_gpx": F.lag("gpx_index").over(STREAM),
-        "_prev_ms": F.lag("time_ms").over(STREAM),
+        "anchor_ms": F.max("time_ms").over(stream().rowsBetween(Window.unboundedPreceding, -1)),
+        "_prev_gpx": F.lag("gpx_index").over(stream()),
+        "_prev_ms": F.lag("time_ms").over(stream()),
         "first_gpx": F.when(t.isNotNull(), F.min("gpx_index").over(Window.partitionBy("track_id", "time_ms"))),
     })
     follows = F.col("_prev_gpx") == g - 1

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import apply, gates, ingestion, phases, presegment, proposals, sampling, temporal
+from ..operators import apply, correction, gates, ingestion, motion, phases, presegment, proposals, report, sampling, temporal
 from ..operators import spine as spines
 from .audit_queries import COUNTS, EDGES, HAVERSINE, LABELS, MOTION, MOTION_COUNTS, PAIRS, SUMMARIES, _round, points, raw, sql, steps
 from .audit_queries import query as _register
@@ -320,3 +320,15 @@ query("exp_trusted_points", sql("select track_id, gpx_index, trk_seg_index, lat,
 query("exp_partition", sql("""select track_id, count(*) as ingested, count(d.g) as drops, count(x.g) as excluded, count(*) - count(d.g) as working, count(*) - count(d.g) - count(x.g) as trusted, true as ok
 from pts p left join (select track_id as t, gpx_index as g from drp) d on d.t = p.track_id and d.g = p.gpx_index left join (select track_id as t, gpx_index as g from exc) x on x.t = p.track_id and x.g = p.gpx_index group by 1""", *STAGES))(
     lambda s, d: (lambda w: phases.partition_report(points(s, d), *w))(first_stages(s, d)))
+
+
+query("rpt_anomalies", sql("select * from (" + " union all ".join(
+    [f"select track_id, 'temporal.{t}' as tag, count(*) filter (where {t}) as n from lab group by 1" for t in temporal.TAGS] + [f"select track_id, 'motion.{t}', count(*) filter (where {t}) from mot group by 1" for t in motion.FLAGS]) + ") where n > 0", LABELS, EDGES, MOTION))(
+    lambda s, d: report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))))
+query("rpt_segment_days", sql("select track_id, trk_seg_index, strftime(epoch_ms(min_ms), '%Y-%m-%d') as first_day, strftime(epoch_ms(max_ms), '%Y-%m-%d') as last_day from rng", BOUNDS))(
+    lambda s, d: report.segment_days(ingestion.segment_boundaries(points(s, d))))
+query("correct_full", None)(lambda s, d: correction.correct(raw(s, d)))
+query("correct_partition", sql("select track_id, count(*) as ingested from pts group by 1"))(lambda s, d: correction.partition(correction.correct(raw(s, d))).filter("ok").select("track_id", "ingested"))
+query("correct_trusted_points", None)(lambda s, d: correction.trusted_points(correction.correct(raw(s, d)), points(s, d)))
+query("rpt_correction_summary", None)(lambda s, d: report.correction_summary(correction.correct(raw(s, d))))
+query("rpt_corpus_summary", None)(lambda s, d: report.corpus_summary(ingestion.counts(raw(s, d)), report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))), correction.correct(raw(s, d))))
