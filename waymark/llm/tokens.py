@@ -36,7 +36,7 @@ FILE_BYTES = 32 << 20
 #: The dictionary is trained on about so many documents, picked by a hash of doc_id, and on so many bytes of ids at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 24 << 20, 112_640
 #: Words kept with their ids in each Python worker, first come; frequent words come early.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 900_000
 END_ID = 1
 
 #: Text of these characters alone is cut into words here, as the tokenizer's own normalizer and pattern would cut it.
@@ -91,7 +91,7 @@ def _encoder(path: str) -> WordEncoder:
 
 def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     end, encoder = struct.pack("<I", end_id), _encoder(tokenizer)
-    for batch in slices(batches, "text", 16 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         yield batch.column("doc_id"), [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
 
 
