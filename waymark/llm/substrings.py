@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, slices
 
-LINE_WORDS, UNIT_WORDS, PASSAGE_WORDS = 12, 4, 20
+LINE_WORDS, UNIT_WORDS, PASSAGE_WORDS = 12, 4, 25
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*")
 _WORD = re.compile(r"\w+")
