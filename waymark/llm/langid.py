@@ -197,6 +197,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def _known_batches(batches, model):
+    for batch in slices(batches, "text"):
+        got = [model.value.predict(t) for t in batch.column("text").to_pylist()]
+        yield batch.filter(pa.array([lang != "und" and score >= LEAST_SCORE for lang, score in got], pa.bool_()))
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised with LEAST_SCORE or more."""
-    return predict(docs, train(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    return docs.mapInArrow(partial(_known_batches, model=model), docs.schema)

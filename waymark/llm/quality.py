@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, slices
 
 ORDER = 5
-#: Rows (n-grams and contexts, 12 bytes each) of one shard.
+#: Rows (n-grams and contexts, 12 bytes each) of one shard, but for a character before that has more by itself.
 SHARD = 4_000_000
 #: Quantiles of the trusted documents' perplexity between which a document is kept.
 LOW, HIGH = 0.002, 0.995
@@ -133,26 +133,30 @@ def probabilities(grams: DataFrame) -> DataFrame:
     return whole.join(reduce(DataFrame.unionByName, backs), "gram", "full").select("gram", "logp", "back")
 
 
+#: Turns the code of an n-gram into that of the same characters as a context.
+_CONTEXT = np.uint64(0x5851F42D4C957F2D)
+
+
 def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = []
-        for gram in batch.column("gram").to_pylist():
+        for gram, context in zip(batch.column("gram").to_pylist(), batch.column("context").to_pylist()):
             c = np.frombuffer(gram.encode("utf-32-le"), "<u4")
-            codes.append(gram_codes(c, len(c))[0] if len(c) else np.uint64(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(codes, np.uint64).view(np.int64)), batch.column("logp"), batch.column("back")], ["code", "logp", "back"])
+            codes.append(gram_codes(c, len(c))[0] ^ (_CONTEXT if context else np.uint64(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(codes, np.uint64).view(np.int64)), batch.column("value")], ["code", "value"])
 
 
 class Shard:
     """Log probabilities and back-off weights by gram code, in an open table that numpy can probe."""
 
-    def __init__(self, code: np.ndarray, logp: np.ndarray, back: np.ndarray, heads: set[int], all_heads: bool, unseen: float):
+    def __init__(self, code: np.ndarray, value: np.ndarray, heads: set[int], others: bool, unseen: float):
         bits = max(4, math.ceil(math.log2(len(code) + 1)))
         order = np.argsort(code)
-        self.code, self.logp, self.back = code[order], logp[order].astype(np.float32), back[order].astype(np.float32)
+        self.code, self.value = code[order], np.append(value[order], 0).astype(np.float32)  # row -1 is 0
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(self.code >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.longest = int(np.diff(self.first).max()) if len(code) else 0
-        self.heads, self.all_heads, self.unseen = np.array(sorted(heads), np.uint32), all_heads, unseen
+        self.heads, self.others, self.unseen = np.array(sorted(heads), np.uint32), others, unseen
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         """The row of every code, or -1."""
@@ -175,21 +179,19 @@ class Shard:
         if len(c) < ORDER:
             return 0.0
         left = np.arange(ORDER - 1, len(c))
-        if not self.all_heads:
-            left = left[np.isin(c[left - 1], self.heads)]
+        if len(self.heads) or not self.others:
+            left = left[np.isin(c[left - 1], self.heads, invert=self.others)]
         total = np.zeros(len(left))
         rows = np.arange(len(left))
         for n in range(ORDER, 0, -1):
             row = self.find(gram_codes(c, n)[left - n + 1])
-            found = (row >= 0) & ~np.isnan(self.logp[row])
-            total[rows[found]] += self.logp[row[found]]
+            found = row >= 0
+            total[rows[found]] += self.value[row[found]]
             left, rows = left[~found], rows[~found]
             if not len(left):
                 return float(total.sum())
             if n > 1:
-                row = self.find(gram_codes(c, n - 1)[left - n + 1])
-                back = np.where(row >= 0, self.back[row], 0.0)
-                total[rows] += np.where(np.isnan(back), 0.0, back)
+                total[rows] += self.value[self.find(gram_codes(c, n - 1)[left - n + 1] ^ _CONTEXT)]
         total[rows] += self.unseen
         return float(total.sum())
 
@@ -198,12 +200,13 @@ def shards(model: DataFrame) -> Iterator[Shard]:
     """The model in shards. n-grams of two characters or more go by the last but one, back-off weights by the last; single characters
     (at most as many as there are code points) are in all shards."""
     size = F.length("gram")
-    entries = model.select("gram", "logp", F.lit(None).cast("double").alias("back"), F.when(size > 1, F.substring("gram", size - 1, F.lit(1))).alias("head")).filter("logp is not null")
-    weights = model.filter("back is not null").select("gram", F.lit(None).cast("double").alias("logp"), "back", F.when(size > 0, F.substring("gram", size, F.lit(1))).alias("head"))
-    both = materialize(entries.unionByName(weights).groupBy("head", "gram").agg(F.max("logp").alias("logp"), F.max("back").alias("back")), "kn-model")
+    head = lambda at: F.when(size > at, F.substring("gram", size - at, F.lit(1))).alias("head")
+    entries = model.filter("logp is not null").select("gram", F.lit(False).alias("context"), F.col("logp").alias("value"), head(1))
+    weights = model.filter("back is not null").select("gram", F.lit(True).alias("context"), F.col("back").alias("value"), head(0))
+    both = materialize(entries.unionByName(weights), "kn-model")
     sizes = {r["head"]: r["n"] for r in both.groupBy("head").agg(F.count("*").alias("n")).collect()}
     single = sizes.pop(None, 0)
-    unseen = both.filter("head is null and length(gram) = 0").agg(F.max("back")).first()[0] or 0.0
+    unseen = both.filter("head is null and length(gram) = 0").agg(F.max("value")).first()[0] or 0.0
     groups: list[tuple[int, list[str]]] = []
     for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):  # first fit; a head over SHARD rows is a shard alone
         for g in groups:
@@ -212,12 +215,15 @@ def shards(model: DataFrame) -> Iterator[Shard]:
                 break
         else:
             groups.append((n, [name]))
-    known = both.filter("head is null and length(gram) = 1").count()
-    for _, names in groups or [(0, [])]:
-        part = both if len(groups) < 2 else both.filter(F.col("head").isin(names) | F.col("head").isNull())
-        table = part.filter("length(gram) > 0").select("gram", "logp", "back").mapInArrow(_code_batches, "code long, logp double, back double").toArrow()
-        columns = [table.column(k).to_numpy() for k in ("code", "logp", "back")]
-        yield Shard(columns[0].view(np.uint64), columns[1].astype(np.float64), columns[2].astype(np.float64), set(map(ord, names)), len(groups) < 2, unseen - math.log(known + 1))
+    known = both.filter("not context and length(gram) = 1").count()
+    every = [set(names) for _, names in groups] or [set()]
+    for k, names in enumerate(every):
+        part = both if len(groups) < 2 else both.filter(F.col("head").isin(*names) | F.col("head").isNull())
+        table = part.filter("length(gram) > 0").select("gram", "context", "value").mapInArrow(_code_batches, "code long, value double").toArrow()
+        code, value = (table.column(k).to_numpy() for k in ("code", "value"))
+        # the first shard also takes the places after symbols that the model does not have
+        heads = set().union(*every[1:]) if k == 0 else names
+        yield Shard(code.view(np.uint64), value, set(map(ord, heads)), k == 0, unseen - math.log(known + 1))
 
 
 def _score_batches(batches, shard):

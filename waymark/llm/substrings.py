@@ -83,15 +83,15 @@ def passages(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs with text cut and removed (array of start, end in the original text)."""
-    spans = passages(docs).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    numbered = docs.drop("removed").withColumn("row", F.monotonically_increasing_id())
-    met = numbered.join(spans, "row", "left")
+    spans = passages(docs).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")).withColumnRenamed("row", "_row")
+    numbered = docs.drop("removed").withColumn("_row", F.monotonically_increasing_id())
+    met = numbered.join(spans, "_row", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
         "removed", start, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return met.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut)).withColumn(
-        "removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))).drop("row")
+        "removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))).drop("_row")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
