@@ -71,6 +71,7 @@ def passages(docs: DataFrame) -> DataFrame:
     every = materialize(numbered.mapInArrow(_unit_batches, UNITS), "units")
     rank = F.struct("doc_id", "row", "seq")
     groups = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).filter("n > 1").drop("n")
+    groups = materialize(groups, "repeated-units")  # a table, so that the join can split a hot digest's occurrences over tasks
     again = every.join(groups, ["h1", "h2"]).filter(~rank.eqNullSafe(F.col("first")))
     in_text = Window.partitionBy("row").orderBy("seq")
     runs = again.select("row", "doc_id", "seq", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"))
