@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from ..operators import elevation, faults, ingestion, motion, sampling, temporal
@@ -66,6 +68,29 @@ def query(name: str, oracle: str | None):
     return add
 
 
+_KEPT: dict = {}
+
+
+def kept(make):
+    """make(spark, sf_dir), kept by Spark (memory, then disk) for the queries that share it.
+
+    The point table keeps the hash distribution by track that its windows gave it, so that what is built on it needs no further
+    exchange; relations of proposals are read by many gates.
+    """
+
+    @wraps(make)
+    def of(spark, sf_dir):
+        key = spark.sparkContext.applicationId, sf_dir, make.__module__, make.__name__
+        df = _KEPT.get(key)
+        if df is None:
+            df = _KEPT[key] = make(spark, sf_dir)
+        level = df.storageLevel
+        return df if level.useMemory or level.useDisk else df.persist()
+
+    return of
+
+
+@kept
 def raw(spark, sf_dir):
     return binding.raw_points(spark, sf_dir)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import apply, correction, gates, ingestion, motion, phases, presegment, proposals, report, sampling, temporal
 from ..operators import spine as spines
-from .audit_queries import COUNTS, EDGES, HAVERSINE, LABELS, MOTION, MOTION_COUNTS, PAIRS, SUMMARIES, _round, points, raw, sql, steps
+from .audit_queries import COUNTS, EDGES, HAVERSINE, LABELS, MOTION, MOTION_COUNTS, PAIRS, SUMMARIES, _round, kept, points, raw, sql, steps
 from .audit_queries import query as _register
 
 QUERIES: dict = {}
@@ -29,6 +29,7 @@ def query(name, oracle):
     return add
 
 
+@kept
 def labelled(s, d):
     return temporal.labels(points(s, d))
 
@@ -212,6 +213,7 @@ def env(s, d):
     return spines.envelopes(points(s, d))
 
 
+@kept
 def blocks(s, d):
     return proposals.blocks(labelled(s, d), env(s, d))
 
@@ -220,14 +222,17 @@ def groups(s, d):
     return proposals.same_time_groups(points(s, d), env(s, d))
 
 
+@kept
 def inserts(s, d):
     return proposals.inserts(proposals.singletons(labelled(s, d), env(s, d)), groups(s, d))
 
 
+@kept
 def overlap(s, d):
     return gates.overlap_blocks(blocks(s, d), spines.spine(points(s, d)))
 
 
+@kept
 def coupling(s, d):
     return gates.coupling_edges(points(s, d), inserts(s, d), overlap(s, d))
 
