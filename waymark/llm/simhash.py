@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, radius: int
     masks = exact_masks(n, radius, bits) if agree is None else wide_masks(n, bits, agree)
     found = components(links(reps.select("fp"), masks, radius))
     roots = reps.join(found, reps.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = materialize(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     named = materialize(roots.join(least, "root").select("fp", "component_id"), "components")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
