@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from . import ingestion, presegment, temporal
 from .track_state import Params, Point, Segment, Track
 
@@ -121,23 +122,28 @@ def correct_track(rows: pd.DataFrame, params: Params) -> pd.DataFrame:
     return pd.DataFrame(out, columns=_COLUMNS)
 
 
-def early_tracks(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tracks that are done after the objective drops, with the points left to them and their drops."""
+def objective_drops(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points left after cross-segment and objective duplicates, and the drops."""
     cross = presegment.cross_segment_duplicates(labelled).select("track_id", "gpx_index", F.lit(presegment.CROSS_DUPLICATE).alias("kind"), F.lit("pre-segment").alias("stage"))
     left = labelled.join(cross, ["track_id", "gpx_index"], "left_anti")
     pairs = presegment.objective_pairs(left)
     exact = pairs.filter("action in ('drop', 'drop_clear')").select("track_id", F.col("other").alias("gpx_index"), F.lit(presegment.EXACT_DUPLICATE).alias("kind"), F.lit("pre-segment-objective-dedupe").alias("stage")).distinct()
-    working = presegment.apply_objective(left, pairs)
+    return presegment.apply_objective(left, pairs), cross.unionByName(exact)
+
+
+def finished_tracks(labelled: DataFrame) -> DataFrame:
+    """track_id of the tracks in which nothing is left to correct after the objective drops."""
+    working, _ = objective_drops(labelled)
     idle = presegment.idle_segments(temporal.segment_summary(labelled), working)
-    done = idle.groupBy("track_id").agg(F.bool_and("idle").alias("done")).filter("done").select("track_id")
-    return done, working.join(done, "track_id", "left_semi"), cross.unionByName(exact).join(done, "track_id", "left_semi")
+    return idle.groupBy("track_id").agg(F.bool_and("idle").alias("done")).filter("done").select("track_id")
 
 
 def correct(raw: DataFrame, params: Params | None = None) -> DataFrame:
     """The correction log (LOG) of all tracks of raw points."""
     params = params or Params()
-    labelled = temporal.labels(ingestion.accepted(raw))
-    done, working, drops = early_tracks(labelled)
+    labelled = written(temporal.labels(ingestion.accepted(raw)), "labelled")
+    done = written(finished_tracks(labelled), "finished")  # ids alone, read three times
+    working, drops = objective_drops(labelled.join(done, "track_id", "left_semi"))
     blank = lambda t: F.lit(None).cast(t)
     kept = working.select("track_id", F.lit("working").alias("entry"), F.col("gpx_index").alias("seq"), "gpx_index", "trk_seg_index", blank("string").alias("kind"), blank("string").alias("stage"), blank("string").alias("details"))
     dropped = drops.select("track_id", F.lit("drop").alias("entry"), F.col("gpx_index").alias("seq"), "gpx_index", blank("int").alias("trk_seg_index"), "kind", "stage", blank("string").alias("details"))

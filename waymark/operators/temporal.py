@@ -11,8 +11,9 @@ TAGS = ("missing", "unparsable", "adjacent_duplicate", "below_anchor", "below_pr
 
 
 def stream():
-    """The window of a track in stream order."""
-    return Window.partitionBy("track_id").orderBy("gpx_index")
+    """The window of a track in stream order. Segments are numbered along the stream, so this order serves windows of segments too:
+    a table sorted by it is not sorted again for either."""
+    return Window.partitionBy("track_id").orderBy("trk_seg_index", "gpx_index")
 
 
 def labels(points: DataFrame) -> DataFrame:

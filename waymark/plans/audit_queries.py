@@ -6,6 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..operators import elevation, faults, ingestion, motion, sampling, temporal
 from . import binding
 
@@ -74,8 +75,8 @@ _KEPT: dict = {}
 def kept(make):
     """make(spark, sf_dir), kept by Spark (memory, then disk) for the queries that share it.
 
-    The point table keeps the hash distribution by track that its windows gave it, so that what is built on it needs no further
-    exchange; relations of proposals are read by many gates.
+    The point table keeps the hash distribution by track and the order that its windows gave it, so that what is built on it needs no
+    further exchange and hardly a sort.
     """
 
     @wraps(make)
@@ -90,9 +91,23 @@ def kept(make):
     return of
 
 
+def stored(make):
+    """make(spark, sf_dir) as a table written once for each session: relations of proposals are read by many gates, whose plans
+    would otherwise hold all of their making several times over."""
+
+    @wraps(make)
+    def of(spark, sf_dir):
+        key = spark.sparkContext.applicationId, sf_dir, make.__module__, make.__name__
+        if key not in _KEPT:
+            _KEPT[key] = written(make(spark, sf_dir), make.__name__)
+        return _KEPT[key]
+
+    return of
+
+
 @kept
 def raw(spark, sf_dir):
-    return binding.raw_points(spark, sf_dir)
+    return binding.raw_points(spark, sf_dir).sortWithinPartitions("track_id", "trk_seg_index", "gpx_index")
 
 
 def points(spark, sf_dir):

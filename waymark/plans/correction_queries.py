@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import apply, correction, gates, ingestion, motion, phases, presegment, proposals, report, sampling, temporal
 from ..operators import spine as spines
-from .audit_queries import COUNTS, EDGES, HAVERSINE, LABELS, MOTION, MOTION_COUNTS, PAIRS, SUMMARIES, _round, kept, points, raw, sql, steps
+from .audit_queries import COUNTS, EDGES, HAVERSINE, LABELS, MOTION, MOTION_COUNTS, PAIRS, SUMMARIES, _round, points, raw, sql, steps, stored
 from .audit_queries import query as _register
 
 QUERIES: dict = {}
@@ -29,15 +29,17 @@ def query(name, oracle):
     return add
 
 
-@kept
+@stored
 def labelled(s, d):
     return temporal.labels(points(s, d))
 
 
+@stored
 def summary(s, d):
     return temporal.segment_summary(labelled(s, d))
 
 
+@stored
 def profiles(s, d):
     return presegment.segment_profiles(summary(s, d), points(s, d))
 
@@ -209,34 +211,37 @@ query("cor_duplicate_chunk_drop", sql("""select p.track_id, p.gpx_index, 'duplic
 where exists (select 1 from bnd b where b.track_id = p.track_id and b.to_seg = p.trk_seg_index and classification = 'duplicate_chunk')""", BOUNDS))(lambda s, d: presegment.duplicate_chunk_points(points(s, d), classes(s, d)))
 
 
+@stored
 def env(s, d):
     return spines.envelopes(points(s, d))
 
 
-@kept
+@stored
 def blocks(s, d):
     return proposals.blocks(labelled(s, d), env(s, d))
 
 
+@stored
 def groups(s, d):
     return proposals.same_time_groups(points(s, d), env(s, d))
 
 
-@kept
+@stored
 def inserts(s, d):
     return proposals.inserts(proposals.singletons(labelled(s, d), env(s, d)), groups(s, d))
 
 
-@kept
+@stored
 def overlap(s, d):
     return gates.overlap_blocks(blocks(s, d), spines.spine(points(s, d)))
 
 
-@kept
+@stored
 def coupling(s, d):
     return gates.coupling_edges(points(s, d), inserts(s, d), overlap(s, d))
 
 
+@stored
 def checked(s, d):
     return apply.kinematic_check(apply.insert_candidates(inserts(s, d), points(s, d)))
 
@@ -332,8 +337,15 @@ query("rpt_anomalies", sql("select * from (" + " union all ".join(
     lambda s, d: report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))))
 query("rpt_segment_days", sql("select track_id, trk_seg_index, strftime(epoch_ms(min_ms), '%Y-%m-%d') as first_day, strftime(epoch_ms(max_ms), '%Y-%m-%d') as last_day from rng", BOUNDS))(
     lambda s, d: report.segment_days(ingestion.segment_boundaries(points(s, d))))
+
+
+@stored
+def correction_log(s, d):
+    return correction.correct(raw(s, d))
+
+
 query("correct_full", None)(lambda s, d: correction.correct(raw(s, d)))
 query("correct_partition", sql("select track_id, count(*) as ingested from pts group by 1"))(lambda s, d: correction.partition(correction.correct(raw(s, d))).filter("ok").select("track_id", "ingested"))
-query("correct_trusted_points", None)(lambda s, d: correction.trusted_points(correction.correct(raw(s, d)), points(s, d)))
-query("rpt_correction_summary", None)(lambda s, d: report.correction_summary(correction.correct(raw(s, d))))
-query("rpt_corpus_summary", None)(lambda s, d: report.corpus_summary(ingestion.counts(raw(s, d)), report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))), correction.correct(raw(s, d))))
+query("correct_trusted_points", None)(lambda s, d: correction.trusted_points(correction_log(s, d), points(s, d)))
+query("rpt_correction_summary", None)(lambda s, d: report.correction_summary(correction_log(s, d)))
+query("rpt_corpus_summary", None)(lambda s, d: report.corpus_summary(ingestion.counts(raw(s, d)), report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))), correction_log(s, d)))
