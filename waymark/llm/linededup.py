@@ -81,7 +81,8 @@ class LineRuns:
         mark = docs.withColumn("_row", F.xxhash64("doc_id", text))  # what is dropped depends on the text alone, so rows may share it
         lines = mark.select("_row", F.posexplode(lines_of(text)).alias("pos", "line"))
         lines = lines.select("_row", "pos", key_of(F.col("line")).alias("key")).select("_row", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
-        hit = lines.hint("merge").join(self.decided(), ["h1", "h2"], "left_semi")
+        decided = materialize(self.decided(), "decided-keys")  # a table, so that a hot key's lines can be split over tasks
+        hit = lines.hint("merge").join(decided, ["h1", "h2"], "left_semi")
         drop = hit.groupBy("_row").agg(F.collect_set("pos").alias("_drop"))
         out = mark.join(drop, "_row", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>"))).withColumn("_lines", lines_of(text))
         left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
