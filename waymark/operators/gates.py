@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +77,27 @@ def blocked(edges: DataFrame) -> DataFrame:
     return edges.select(*KEYS, F.col("key_a").alias("key")).union(edges.select(*KEYS, "key_b")).distinct()
 
 
+def coupled_regions(edges: DataFrame) -> DataFrame:
+    """key, region of every coupled proposal: the least key that it is coupled with over any number of steps. The proposals of one
+    segment are few enough for one task."""
+
+    def regions(rows: pd.DataFrame) -> pd.DataFrame:
+        up: dict[str, str] = {}
+
+        def root(k: str) -> str:
+            while up.setdefault(k, k) != k:
+                k = up[k]
+            return k
+
+        for a, b in zip(rows["key_a"], rows["key_b"]):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+        keys = list(up)
+        return pd.DataFrame({"track_id": rows["track_id"].iloc[0], "trk_seg_index": rows["trk_seg_index"].iloc[0], "key": keys, "region": [root(k) for k in keys]})
+
+    return edges.groupBy(*KEYS).applyInPandas(regions, "track_id long, trk_seg_index int, key string, region string")
+
+
 def applyable(inserts: DataFrame, overlap: DataFrame, edges: DataFrame, in_blocks: DataFrame, corridors: DataFrame) -> DataFrame:
     """Keys of the proposals that no gate stops."""
     block_key = lambda c: F.concat(F.lit("block:"), F.col(c).cast("string"))

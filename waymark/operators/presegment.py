@@ -42,6 +42,12 @@ def immediate_pairs(points: DataFrame) -> DataFrame:
         F.count_if(F.col("_t") > F.col("_p")).alias("positive_pairs"), F.count_if(F.col("_t") < F.col("_p")).alias("falling_pairs"))
 
 
+def participation_without_audit(points: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
+    """participation() from the points alone: the sums of immediate_pairs() over a track's segments."""
+    near = immediate_pairs(points).groupBy("track_id").agg(F.sum("parseable").alias("timestamped_points"), F.sum("pairs").alias("timed_pairs"), F.sum("positive_pairs").alias("positive"))
+    return participation(near, least)
+
+
 def segment_profiles(summary: DataFrame, points: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
     """For each segment mode, coverage and flags; summary is that of the timestamp audit."""
     near = immediate_pairs(points).select(*KEYS, F.col("pairs").alias("_near"), "falling_pairs")
@@ -54,7 +60,7 @@ def segment_profiles(summary: DataFrame, points: DataFrame, least: float = MIN_C
 
 
 def boundaries(ranges: DataFrame, tolerance: float = ZONE_TOLERANCE) -> DataFrame:
-    """For each pair of neighbouring segments its class, gap and suspected offset; ranges are segment_boundaries()."""
+    """For each pair of neighbouring segments its class, gap and suspected offset; ranges are segment_boundaries() or segment_summaries()."""
     order = Window.partitionBy("track_id").orderBy("trk_seg_index")
     nxt = {f"n_{c}": F.lead(c).over(order) for c in ("trk_seg_index", "first_ms", "min_ms", "max_ms")}
     both = ranges.withColumns(nxt).filter("n_trk_seg_index is not null").withColumn("gap_ms", F.col("n_first_ms") - F.col("last_ms"))

@@ -22,3 +22,9 @@ def envelopes(points: DataFrame, order: str = "gpx_index") -> DataFrame:
     """For each segment the range of its spine; nulls for a segment without one."""
     env = spine(points, order).groupBy(*KEYS).agg(F.min("time_ms").alias("env_min"), F.max("time_ms").alias("env_max"))
     return points.select(*KEYS).distinct().join(env, KEYS, "left")
+
+
+def intervals(points: DataFrame, order: str = "gpx_index") -> DataFrame:
+    """For each segment its spine as a list of points in order, and its envelope."""
+    rows = spine(points, order).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("time_ms", "gpx_index"))).alias("spine"))
+    return envelopes(points, order).join(rows, KEYS, "left")

@@ -349,3 +349,17 @@ query("correct_partition", sql("select track_id, count(*) as ingested from pts g
 query("correct_trusted_points", None)(lambda s, d: correction.trusted_points(correction_log(s, d), points(s, d)))
 query("rpt_correction_summary", None)(lambda s, d: report.correction_summary(correction_log(s, d)))
 query("rpt_corpus_summary", None)(lambda s, d: report.corpus_summary(ingestion.counts(raw(s, d)), report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))), correction_log(s, d)))
+
+query("cor_participation_without_audit", sql("""select track_id, case when ts = 0 or pos = 0 then 'geometry-only' when cov < 0.8 then 'timestamp-sparse' else 'full' end as mode, cov as coverage,
+  case when ts = 0 then 'no-parseable-timestamps' when pos = 0 then 'all-timestamps-uniform' when cov < 0.8 then 'insufficient-pair-coverage' end as reason
+from (select track_id, sum(parseable) as ts, sum(positive_pairs) as pos, case when sum(pairs) > 0 then cast(sum(positive_pairs) as double) / cast(sum(pairs) as double) else 0 end as cov from near group by 1)""", NEAR))(
+    lambda s, d: presegment.participation_without_audit(points(s, d)))
+query("cor_boundary_class_of_summaries", sql("select * from bnd", SUMMARIES, BOUNDS.replace("rng as (select track_id, trk_seg_index, arg_min_null(time_ms, gpx_index) as first_ms, arg_max_null(time_ms, gpx_index) as last_ms, min(time_ms) as min_ms, max(time_ms) as max_ms from pts group by 1, 2)", "rng as (select track_id, trk_seg_index, first_ms, last_ms, min_ms, max_ms from summ)")))(
+    lambda s, d: presegment.boundaries(ingestion.segment_summaries(raw(s, d))))
+query("gat_coupled_regions", sql("""select track_id, trk_seg_index, key, least(key, min(other)) as region from reach group by 1, 2, 3""", *FIRST_PASS, OVERLAP, COUPLING, """
+cpl2 as (select track_id, trk_seg_index, key_a, key_b from cpl union select track_id, trk_seg_index, key_b, key_a from cpl),
+reach(track_id, trk_seg_index, key, other) as (
+  select * from cpl2 union select r.track_id, r.trk_seg_index, r.key, c.key_b from reach r join cpl2 c on c.track_id = r.track_id and c.trk_seg_index = r.trk_seg_index and c.key_a = r.other)"""))(
+    lambda s, d: gates.coupled_regions(coupling(s, d)))
+query("exp_spine_intervals", sql("""select track_id, trk_seg_index, env_min, env_max, spine from env left join (select track_id, trk_seg_index, string_agg(gpx_index, ',' order by time_ms) as spine from spn group by 1, 2) using (track_id, trk_seg_index)""", SPINE))(
+    lambda s, d: spines.intervals(points(s, d)).withColumn("spine", F.array_join(F.transform("spine", lambda p: p["gpx_index"].cast("string")), ",")))
