@@ -65,3 +65,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "body", limit: int =
             size += int(n)
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Remove every table that this package has written to the shared folder, once no result reads them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/waymark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
