@@ -4,37 +4,56 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written
 All but the last return the columns of documents.
 """
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark import ship
 from waymark.llm import decontaminate, langid, mixing, simhash, tokens
 from waymark.llm.common import documents, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stage(make):
+    """A stage that first gives the package to the session's Python workers."""
+
+    @wraps(make)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return make(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     return langid.keep_known(docs).select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of every group of near copies."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
+@stage
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their sources' weights ask, in a global shuffle; copies share a doc_id."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
+@stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the mixed corpus, read back from token files."""
-    return tokens.round_trip(docs)
+    return tokens.round_trip(docs, kept=150_000)  # the workers of this stage have served the stages before
 
 
 STAGES = [
@@ -51,8 +70,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{k}")
     return docs

@@ -55,8 +55,8 @@ def _tokenizer(path: str):
 class WordEncoder:
     """Ids of texts as little-endian u32 bytes. Chunks between blanks and words in them are looked up; new words go to the tokenizer together."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.ids = _tokenizer(path), {}
+    def __init__(self, path: str, kept: int | None = None):
+        self.tokenizer, self.ids, self.kept = _tokenizer(path), {}, WORDS_KEPT if kept is None else kept
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids = self.ids
@@ -68,7 +68,7 @@ class WordEncoder:
         new = list(fresh)
         parts = list(map(_WORD.findall, new))
         words = {w for p in parts for w in p}.difference(ids)
-        kept = max(0, WORDS_KEPT - len(ids))
+        kept = max(0, self.kept - len(ids))
         words = list(words)
         for at in range(0, len(words), 8192):
             some = words[at : at + 8192]
@@ -85,31 +85,32 @@ class WordEncoder:
 
 
 @lru_cache(1)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, kept: int) -> WordEncoder:
+    return WordEncoder(path, kept)
 
 
-def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    end, encoder = struct.pack("<I", end_id), _encoder(tokenizer)
+def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, kept: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    pa.default_memory_pool().release_unused()  # a worker may have served other operators before
+    end, encoder = struct.pack("<I", end_id), _encoder(tokenizer, kept)
     for batch in slices(batches, "text", 2 << 20):
         yield batch.column("doc_id"), [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
 
 
-def _raw_batches(batches, tokenizer, end_id):
-    for ids, bodies in _id_batches(batches, tokenizer, end_id):
+def _raw_batches(batches, tokenizer, end_id, kept):
+    for ids, bodies in _id_batches(batches, tokenizer, end_id, kept):
         yield pa.RecordBatch.from_arrays([ids, pa.array(bodies, pa.binary())], ["doc_id", "ids"])
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, ids (little-endian u32, end_id appended)."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_raw_batches, tokenizer=tokenizer, end_id=end_id), "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(partial(_raw_batches, tokenizer=tokenizer, end_id=end_id, kept=kept), "doc_id long, ids binary")
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int = END_ID) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int = END_ID, kept: int = WORDS_KEPT) -> bytes:
     """A zstandard dictionary for serialized ids; empty for an empty corpus, plain content for one too small to train on."""
     n = docs.count()
     if not n:
@@ -117,7 +118,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int =
     share = min(1.0, SAMPLE_DOCS / n)
     picked = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * SAMPLE_DOCS)
     sample, size = [], 0
-    for row in token_ids(picked, tokenizer, end_id).toLocalIterator():
+    for row in token_ids(picked, tokenizer, end_id, kept).toLocalIterator():
         sample.append(_narrow(bytes(row.ids), width))
         size += len(sample[-1])
         if size > SAMPLE_BYTES:
@@ -129,9 +130,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int =
         return b"".join(sample)[-DICTIONARY_BYTES:]
 
 
-def _frame_batches(batches, tokenizer, end_id, dictionary, width):
+def _frame_batches(batches, tokenizer, end_id, kept, dictionary, width):
     pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    for ids, bodies in _id_batches(batches, tokenizer, end_id):
+    for ids, bodies in _id_batches(batches, tokenizer, end_id, kept):
         frames = [pack.compress(_narrow(x, width)) for x in bodies]
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array([len(x) // 4 for x in bodies], pa.int64()), pa.array(list(map(zlib.crc32, bodies)), pa.int64()), pa.array(frames, pa.binary())],
@@ -175,19 +176,19 @@ def _write_batches(batches, folder, digest, width):
         yield close()
 
 
-def write_corpus(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int = 49_408, end_id: int = END_ID) -> DataFrame:
+def write_corpus(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int = 49_408, end_id: int = END_ID, kept: int = WORDS_KEPT) -> DataFrame:
     """Write docs (doc_id, text) as token files in ascending order of doc_id; the manifest: part, seq, file, docs, tokens, start.
 
     The manifest has one row for a file, so the running total over it is made in one task.
     """
     spark, width = docs.sparkSession, 2 if vocabulary <= 65_536 else 4
-    dictionary = train_dictionary(docs, tokenizer, width, end_id)
+    dictionary = train_dictionary(docs, tokenizer, width, end_id, kept)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     system, root = _open(folder)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/dictionary") as out:
         out.write(dictionary)
-    frames = docs.select("doc_id", "text").mapInArrow(partial(_frame_batches, tokenizer=tokenizer, end_id=end_id, dictionary=dictionary, width=width), "doc_id long, n_tokens long, crc long, frame binary")
+    frames = docs.select("doc_id", "text").mapInArrow(partial(_frame_batches, tokenizer=tokenizer, end_id=end_id, kept=kept, dictionary=dictionary, width=width), "doc_id long, n_tokens long, crc long, frame binary")
     frames = materialize(frames, "token-frames", "none").withColumn("row", F.monotonically_increasing_id())
     order = ["doc_id", "crc", "row"]
     dealt = frames.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -244,12 +245,13 @@ def read_corpus(manifest: DataFrame, folder: str) -> DataFrame:
     return files.mapInArrow(partial(_read_batches, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Write docs as token files of the public 49k-word tokenizer in the shared folder and read them back."""
+def round_trip(docs: DataFrame, kept: int = WORDS_KEPT) -> DataFrame:
+    """Write docs as token files of the public 49k-word tokenizer in the shared folder and read them back. kept: words that each Python
+    worker keeps; fewer take less memory and more time."""
     import public_tokenizers
 
     folder = table_path(docs.sparkSession, "tokens")
-    return read_corpus(write_corpus(docs, folder, str(public_tokenizers.path("word_bpe_49k.json"))), folder)
+    return read_corpus(write_corpus(docs, folder, str(public_tokenizers.path("word_bpe_49k.json")), kept=kept), folder)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
