@@ -47,3 +47,17 @@ def test_blocks_do_not_change_peaks():
     at = 1500
     one = media.peaks(x[at * media.HOP : at * media.HOP + media.FRAME])
     assert (found[at] == one[0]).all() and len(found) == 2101
+
+
+def test_short_and_tail_different_texts_differ():
+    def feature(text):
+        times, codes = media.fingerprint(np.frombuffer(payload(text), np.uint8))
+        return tuple(times), tuple(codes)
+
+    words = [f"{a} {b} {c}." for a in ("The river", "An old mill", "Nobody") for b in ("stood by", "knew", "walked along") for c in ("the bank", "a village every morning", "it")]
+    found = [feature(t) for t in words]
+    assert all(codes for _, codes in found) and len(set(found)) >= len(words) - 1  # peaks, not a hash
+    body = " ".join(words)
+    for n in range(700, 1200, 37):  # the last 40 characters differ, at every place of the last frame
+        assert feature(body[:n] + "q" * 40) != feature(body[:n] + words[2].ljust(40)[:40])
+    assert feature("")[1] == ()

@@ -1,8 +1,10 @@
 """Media columns: payloads as 8-bit WAV, read back, with short-time spectra and peak-pair fingerprints.
 
 Payload: the UTF-8 bytes of a text, filled up with zeros to a positive multiple of 64, one byte a sample. Frames of FRAME
-samples every HOP (a shorter payload is one frame, filled up with the mean) go through a Hann window and a Fourier transform; in each of
-BANDS the strongest bin is a peak if it stands out over its band. Each peak is paired with the peaks of the AHEAD next frames. A
+samples every HOP go through a Hann window and a Fourier transform; in each of BANDS the strongest bin is a peak if it stands out
+over its band, and the strongest bin of all is one in a frame without such a band, unless the frame is silent. Before and after the
+samples stand FRAME - HOP of the mean of the FRAME next to them: every sample lies in as many frames as any
+other, and 64 samples lie in four. Each peak is paired with the peaks of the AHEAD next frames. A
 fingerprint is two arrays: the time (frame number) and the code (bin, other bin, frames between), in order.
 
 Nulls: a null text counts as empty. Equal texts have equal values; other columns are ignored.
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import documents, id_and_bytes, materialize, slices
 
 BLOCK, RATE = 64, 8000
-FRAME, HOP, AHEAD = 1024, 512, 2
-BANDS = ((4, 32), (32, 96), (96, 224), (224, 512))
+FRAME, HOP, AHEAD = 256, 64, 2
+BANDS = ((1, 8), (8, 24), (24, 56), (56, 128))
 #: A peak is so many times its band's mean.
 OVER = 2.0
+#: What rounding alone can leave in a bin of a silent frame.
+QUIET = 0.05
 
 
 def to_wav(body: bytes) -> bytes:
@@ -50,36 +54,42 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """For each frame and band the bin of the peak, or -1."""
+    """For each frame and band the bin of the peak, or -1. The last frame is filled up with the mean."""
     x = samples.astype(np.float32)
-    if len(x) < FRAME:
-        x = np.concatenate((x, np.full(FRAME - len(x), x.mean(), np.float32)))
+    lacks = FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP
+    if lacks:
+        x = np.concatenate((x, np.full(lacks, x.mean(), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window, out = np.hanning(FRAME).astype(np.float32), []
     for at in range(0, len(frames), 1024):
         part = frames[at : at + 1024]
         power = np.abs(np.fft.rfft((part - part.mean(1, keepdims=True)) * window, axis=1))
         rows = np.arange(len(part))
-        found = []
+        found, bests, heights = [], [], []
         for lo, hi in BANDS:
             band = power[:, lo:hi]
             best = band.argmax(1)
-            found.append(np.where(band[rows, best] > OVER * band.mean(1), best + lo, -1))
-        out.append(np.stack(found, 1))
+            bests.append(best + lo)
+            heights.append(band[rows, best])
+            found.append(np.where(heights[-1] > OVER * band.mean(1), best + lo, -1))
+        found, heights = np.stack(found, 1), np.stack(heights, 1)
+        top = heights.argmax(1)
+        flat = np.flatnonzero((found < 0).all(1) & (heights[rows, top] > QUIET))
+        found[flat, top[flat]] = np.stack(bests, 1)[flat, top[flat]]
+        out.append(found)
     return np.concatenate(out)
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """times, codes of all peak pairs, ordered by time and code."""
-    found = peaks(samples)
+    before, after = (np.full(FRAME - HOP, edge.mean(), np.float32) for edge in (samples[:FRAME], samples[-FRAME:]))
+    found = peaks(np.concatenate((before, samples, after)))
     times, codes = [], []
     for ahead in range(1, AHEAD + 1):
-        for i in range(len(BANDS)):
-            for j in range(len(BANDS)):
-                a, b = found[:-ahead, i], found[ahead:, j]
-                t = np.flatnonzero((a >= 0) & (b >= 0))
-                times.append(t)
-                codes.append((a[t] << 12) | (b[t] << 2) | ahead)
+        a, b = found[:-ahead, :, None], found[ahead:, None, :]
+        both = (a >= 0) & (b >= 0)
+        times.append(np.nonzero(both)[0])
+        codes.append(((a << 12) | (b << 2) | ahead)[both])
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)
