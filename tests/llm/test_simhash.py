@@ -111,3 +111,40 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 80)] + [(5, 5)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(80)}
+
+
+def test_the_stage_links_by_exact_similarity(spark):
+    rng = np.random.default_rng(4)
+    rows, want, k = [], {0.1: [], 0.9: []}, 0
+    for changed in (4, 6, 8, 9, 11, 12, 13, 16, 20):  # of 400 words; Jaccard indices on both sides of 0.8
+        for _ in range(8):
+            words = [f"w{j}" for j in rng.integers(0, 5000, 400)]
+            other = list(words)
+            for at in rng.permutation(400)[:changed]:
+                other[at] = f"x{k}"
+            a, b = ({tuple(w[i : i + 5]) for i in range(396)} for w in (words, other))
+            rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+            want[0.9 if len(a & b) >= 0.8 * len(a | b) else 0.1].append(k)
+            k += 2
+    rows.append((k, rows[0][1]))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.STAGE).collect()}
+    assert len(want[0.1]) > 15 and len(want[0.9]) > 15
+    assert all(got[j + 1] == j + 1 for j in want[0.1])
+    assert sum(got[j + 1] != j for j in want[0.9]) <= 2 and got[k] == 0
+
+
+@pytest.mark.parametrize("size", [5, 40, 200])
+def test_cells_link_what_all_agreed_pairs_link(size):
+    rng = np.random.default_rng(size)
+    words = np.unique(rng.integers(0, 2**10, (size, 1), np.uint64), axis=0)
+    agreed = lambda a, b: (a + b) % 3 == 0
+    links = simhash.cell_links(np.zeros(len(words), np.int64), words, 4, agreed)
+    assert all(agreed(a, b) for a, b in links)
+
+    def groups(pairs):
+        forest = simhash._Forest(len(words))
+        for a, b in pairs:
+            forest.join(a, b)
+        return [forest.root(a) for a in range(len(words))]
+
+    assert groups(links) == groups((a, b) for a in range(len(words)) for b in range(a) if agreed(a, b) and bin(int(words[a, 0] ^ words[b, 0])).count("1") <= 4)

@@ -6,6 +6,9 @@ fingerprints (pivots) discards every pair whose coordinates differ by more than
 inequality makes that lossless), and the survivors are verified on all bits. Every cell yields a spanning forest of its
 links, never all pairs.
 
+similarity: where it is given, pairs within the radius are candidates only. Fingerprints that have one meet a second time, in the
+same cells but with their sets of shingle hashes, and a pair links if the exact Jaccard index of its sets is `similarity` or more.
+
 masks: for a small radius the masks come from the pigeonhole principle (b blocks, b - radius of them equal), so no
 link is lost at all. For a wide radius (`wide_masks`) they are fixed random bit samples, as many as bring the
 chance of missing one single pair at the similarity bound below `miss`.
@@ -34,6 +37,8 @@ TILE = 32_768
 #: Cells up to this size are compared by shifting the sorted rows against themselves.
 SMALL = 32
 PIVOTS = 12
+#: The same for cells with sets of shingles, and the bytes of sets after which a task compares the cells it has.
+SET_TILE, HELD = 4096, 32 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,6 +89,21 @@ def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, as_set: bool =
     return id_and_bytes(docs).mapInArrow(partial(_fingerprint_batches, width=width, bits=bits, as_set=as_set), "doc_id long, fp binary")
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = [np.unique(shingle_hashes(body or b"", width)) for body in batch.column("body").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([fold(h, bits) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["fp", "shingles"])
+
+
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two sets (sorted 64-bit hashes) have a Jaccard index of `least` or more."""
+    n, m = len(a) // 8, len(b) // 8
+    if min(n, m) < least * max(n, m) - 1e-9:
+        return False
+    both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    return both >= least * (n + m - both) - 1e-9
+
+
 def exact_masks(n: int, radius: int, bits: int = 64) -> np.ndarray:
     """Masks (rows of 64-bit words) of which one at least selects equal bits in any pair within `radius`.
 
@@ -137,12 +157,14 @@ class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
 
-    def join(self, a: int, b: int) -> bool:
+    def root(self, a: int) -> int:
         up = self.up
         while up[a] != a:
             up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        up, a, b = self.up, self.root(a), self.root(b)
         if a == b:
             return False
         up[max(a, b)] = min(a, b)
@@ -164,13 +186,14 @@ def _near(words: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, ra
     return a[keep], b[keep]
 
 
-def cell_links(cells: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Row pairs that link equal cells (sorted) into the components which all pairs within radius would make."""
+def cell_links(cells: np.ndarray, words: np.ndarray, radius: int, agreed=None) -> list[tuple[int, int]]:
+    """Row pairs that link equal cells (sorted) into the components which all pairs within radius (that are agreed, if it is given) would make."""
     if not len(cells):
         return []
     table, links = pivot_table(words), []
     _, same = np.unique(np.ascontiguousarray(words).view(f"V{8 * words.shape[1]}").ravel(), return_inverse=True)
     same, forest = same.tolist(), _Forest(len(cells))
+    linked = lambda a, b: agreed is None or forest.root(same[a]) == forest.root(same[b]) or agreed(a, b)
     edges = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]))
     size = np.repeat(np.diff(edges), np.diff(edges))
     left = np.flatnonzero((size > 1) & (size <= SMALL))
@@ -180,7 +203,7 @@ def cell_links(cells: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[
         if not len(left):
             break
         for a, b in zip(*(x.tolist() for x in _near(words, table, left, left + s, radius))):
-            if forest.join(same[a], same[b]):
+            if linked(a, b) and forest.join(same[a], same[b]):
                 links.append((a, b))
     for k in np.flatnonzero(np.diff(edges) > SMALL):
         rest = np.arange(edges[k], edges[k + 1])
@@ -192,6 +215,7 @@ def cell_links(cells: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[
             at = front.pop()
             lo, hi = np.searchsorted(table[rest, 0], [table[at, 0] - radius, table[at, 0] + radius + 1])
             _, found = _near(words, table, np.full(hi - lo, at), rest[lo:hi], radius)
+            found = np.array([b for b in found.tolist() if linked(at, b)], np.int64)
             if len(found):
                 for b in found.tolist():
                     if forest.join(same[at], same[b]):
@@ -201,52 +225,78 @@ def cell_links(cells: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[
     return links
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    cells, words = np.empty(0, np.int64), None
+def _link_batches(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
+    cells, words, sets, held = np.empty(0, np.int64), None, [], 0
 
-    def linked(cells, words):
-        pairs = np.array(cell_links(cells, words, radius), np.int64).reshape(-1, 2)
+    def linked(cells, words, sets):
+        agreed = None if similarity is None else lambda a, b: similar(sets[a], sets[b], similarity)
+        pairs = np.array(cell_links(cells, words, radius, agreed), np.int64).reshape(-1, 2)
         a, b = (pa.array([x.tobytes() for x in words[pairs[:, i]].astype(">u8")], pa.binary()) for i in (0, 1))
         return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-    for batch in batches:
+    for batch in batches if similarity is None else slices(batches, "shingles"):
         new = _words(batch.column("fp"))
         cells = np.concatenate((cells, batch.column("cell").to_numpy()))
         words = new if words is None else np.concatenate((words, new))
-        if len(cells) >= TILE and cells[0] != cells[-1]:
+        if similarity is not None:
+            more = batch.column("shingles").to_pylist()
+            sets, held = sets + more, held + sum(map(len, more))
+        if (len(cells) >= TILE or held >= HELD) and cells[0] != cells[-1]:
             cut = int(np.searchsorted(cells, cells[-1]))
-            yield linked(cells[:cut], words[:cut])
-            cells, words = cells[cut:], words[cut:]
+            yield linked(cells[:cut], words[:cut], sets[:cut])
+            cells, words, sets = cells[cut:], words[cut:], sets[cut:]
+            held = sum(map(len, sets))
     if len(cells):
-        yield linked(cells, words)
+        yield linked(cells, words, sets)
 
 
-def links(fps: DataFrame, masks: np.ndarray, radius: int) -> DataFrame:
+def links(fps: DataFrame, masks: np.ndarray, radius: int, similarity: float | None = None, sets: DataFrame | None = None) -> DataFrame:
     """a, b: links between the different fingerprints of fps (column fp, no repeats) that make the components of all pairs within radius.
 
-    Cells over TILE rows are dealt as pairs of tiles over many tasks: every two rows still meet.
+    similarity, sets (fp, shingles): only pairs of this Jaccard index or more link.
+    Cells over TILE rows (SET_TILE with sets) are dealt as pairs of tiles over many tasks: every two rows still meet.
     """
+    tile = TILE if sets is None else SET_TILE
     cells = fps.mapInArrow(partial(_cell_batches, masks=masks), "cell long, fp binary")
-    big = cells.groupBy("cell").count().filter(F.col("count") > TILE).withColumn("tiles", F.ceil(F.col("count") / (TILE // 2)).cast("int")).drop("count")
+    if sets is not None:  # a cell of one has no pair
+        cells = materialize(cells, "candidate-cells")
+        cells = cells.join(cells.groupBy("cell").count().filter("count > 1").select("cell"), "cell")
+    big = cells.groupBy("cell").count().filter(F.col("count") > tile).withColumn("tiles", F.ceil(F.col("count") / (tile // 2)).cast("int")).drop("count")
     big = materialize(big, "cells")
     if big.take(1):
         cells = cells.join(big, "cell", "left").withColumn("own", F.when(F.col("tiles").isNotNull(), F.pmod(F.xxhash64("fp"), "tiles")))
         other = F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
         cells = cells.withColumn("other", other).select(
             F.when(F.col("tiles").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "fp")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(partial(_link_batches, radius=radius), "a binary, b binary")
+    if sets is not None:
+        cells = cells.join(sets, "fp").select("cell", "fp", "shingles")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(partial(_link_batches, radius=radius, similarity=similarity), "a binary, b binary")
+
+
+def _sets(docs: DataFrame, reps: DataFrame, fps: DataFrame, width: int, bits: int) -> DataFrame:
+    """fp, shingles (the sorted hashes of one text that has it) for the fingerprints in fps."""
+    ids = reps.join(fps, "fp").select(F.col("first_id").alias("_id")).distinct()
+    some = docs.join(ids, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")  # rows that repeat an id are told apart by fp
+    made = id_and_bytes(some).select("body").mapInArrow(partial(_set_batches, width=width, bits=bits), "fp binary, shingles binary")
+    return materialize(made.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, radius: int = 4, agree: float | None = None, as_set: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, radius: int = 4, agree: float | None = None, as_set: bool = False, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included; null if all ids of a component are).
 
+    similarity: None, or the least Jaccard index of the shingle sets of a pair within radius (needs as_set).
     agree: None for lossless masks (small radius), else the share of equal bits at the similarity bound (wide_masks).
     """
     marked = materialize(fingerprints(docs, width, bits, as_set), "fingerprints")
     reps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-reps")
     n = reps.count()
     masks = exact_masks(n, radius, bits) if agree is None else wide_masks(n, bits, agree)
-    found = components(links(reps.select("fp"), masks, radius))
+    near = links(reps.select("fp"), masks, radius)
+    if similarity is not None:
+        near = materialize(near, "candidates")
+        fps = materialize(near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct(), "candidate-fingerprints")
+        near = links(fps, masks, radius, similarity, _sets(docs, reps, fps, width, bits))
+    found = components(near)
     roots = reps.join(found, reps.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = materialize(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     named = materialize(roots.join(least, "root").select("fp", "component_id"), "components")
@@ -259,8 +309,9 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 #: Near copies in the pipeline: five-word shingles, similarity 0.8. A Jaccard index of 0.8 is a cosine of 8/9, at which
-#: a bit differs with chance acos(8/9) / pi = 0.1515: 39 of 256 bits, deviation 5.8; the radius adds two deviations.
-STAGE = {"width": 5, "bits": 256, "radius": 50, "agree": 0.8485, "as_set": True}
+#: a bit differs with chance acos(8/9) / pi = 0.1515: 39 of 256 bits, deviation 5.8; the radius adds three deviations, as
+#: candidates are verified.
+STAGE = {"width": 5, "bits": 256, "radius": 57, "agree": 0.8485, "as_set": True, "similarity": 0.8}
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
