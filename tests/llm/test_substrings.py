@@ -47,3 +47,11 @@ def test_odd_rows(odd, none):
     out = S.remove(odd)
     assert out.count() == odd.count() and set(out.columns) == set(odd.columns)
     assert S.passages(none).count() == 0 and S.remove(none).count() == 0
+
+
+def test_a_single_repeated_unit_is_removed(spark):
+    line = "Everyone went home in the rain."
+    rows = [(1, "The first text.\n" + line), (2, line + "\nAnother beginning of the second."), (3, line), (4, "In the rain.\nIn the rain.")]
+    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id) for r in S.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 0, len(line), 1), (3, 0, len(line), 1)]
+    assert {r.doc_id: r.text for r in S.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[3] == ""

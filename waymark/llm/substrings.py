@@ -2,8 +2,8 @@
 
 Units: every line; a line of more than LINE_WORDS words is cut after each sentence end that makes a unit of UNIT_WORDS words. A unit is normalised to its lower-case
 words. Digests (128 bits) of units of UNIT_WORDS words or more are grouped over the whole corpus and the occurrence that ranks
-first (smallest doc_id, then place) stays. Repeated units that follow one another (units of fewer words between them do not count)
-make a passage, and passages of PASSAGE_WORDS words or more are removed; their places in the original text are the result.
+first (smallest doc_id, then place) stays. Every other occurrence is removed: repeated units that follow one another (units of fewer
+words between them do not count) make a passage, whose place in the original text is the result.
 
 Nulls: a null text has no units; rows without a doc_id rank first. Rows that repeat a doc_id stay apart. Extra columns stay.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, slices
 
-LINE_WORDS, UNIT_WORDS, PASSAGE_WORDS = 12, 4, 25
+LINE_WORDS, UNIT_WORDS = 12, 4
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*")
 _WORD = re.compile(r"\w+")
@@ -79,7 +79,7 @@ def passages(docs: DataFrame) -> DataFrame:
     out = runs.groupBy("row", "run").agg(
         F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
         F.count("*").alias("units"), F.min_by("first_doc_id", "seq").alias("first_doc_id"))
-    return out.filter(F.col("words") >= PASSAGE_WORDS).drop("run")
+    return out.drop("run")
 
 
 def remove(docs: DataFrame) -> DataFrame:
