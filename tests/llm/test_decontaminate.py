@@ -76,6 +76,30 @@ def test_blocks_give_the_same(spark, docs, sf_dir, monkeypatch):
     assert sorted(map(tuple, D.hits(docs, bench).collect())) == whole
 
 
+def test_blocks_give_the_same_for_repeated_rows(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog and then walks home along the river to sleep until noon on the next day of the week"
+    rows = [(1, f"before it {item} after it")] * 3 + [(None, item.upper()), (2, item[3:118]), (3, "nothing of the kind"), (4, None)]
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, "few words"), (9, None)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(str, D.hits(docs, bench).collect()))
+    assert len(one) == 2 * 5
+    for size in (1, 3):
+        monkeypatch.setattr(D, "BLOCK", size)
+        assert sorted(map(str, D.hits(docs, bench).collect())) == one
+        assert sorted(str(r.doc_id) for r in D.keep_clean(docs, bench).collect()) == ["3", "4"]
+
+
+def test_every_excerpt_of_the_least_length_is_found():
+    words = np.random.default_rng(8)
+    item = " ".join("".join(words.choice(list("abcdefgh"), words.integers(2, 8))) for _ in range(80))
+    codes, _ = D.fold(item)
+    block, least = D.Block(D.windows_of([(1, item)])), D.WINDOW + D.STRIDE - 1
+    for at in range(0, len(codes) - least):
+        part = "zz zz " + "".join(" " if c == 1 else chr(c) for c in codes[at : at + least].tolist()).strip() + " zz zz"
+        if len(D.fold(part)[0]) == least + 12:  # an excerpt that begins or ends at a blank is shorter
+            assert D.search(block, part)
+
+
 def test_stretches_give_the_same(monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and then walks home along the river to sleep until noon"
     text = "filler words go here " * 40 + item + " more filler words " * 40

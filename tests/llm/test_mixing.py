@@ -37,3 +37,34 @@ def test_odd_rows(odd, none):
     out = mixing.mix(odd)
     assert [c for c in out.columns if c not in ("copy", "mix_key")] == [c for c in odd.columns if c != "copy"]
     assert mixing.mix(none).count() == 0 and mixing.mix(odd, {"nowhere": 1.0}).count() == 0
+
+
+def test_large_rates_follow_the_poisson_distribution(spark):
+    n = 4000
+    df = spark.range(n).selectExpr("id as doc_id", "'t' as text", "'s' as source")
+    for rate in (0.1, 500.0, 800.0, 5000.0):
+        rows = mixing.replicate(df, mixing.rates(df, {"s": 1.0}, total=rate * n)).groupBy("copies").count().collect()
+        total = sum(r.copies * r["count"] for r in rows)
+        square = sum(r.copies**2 * r["count"] for r in rows)
+        mean = total / n
+        variance = square / n - mean**2
+        assert abs(mean - rate) < 5 * math.sqrt(rate / n)
+        assert abs(variance - rate) < 6 * rate * math.sqrt((2 + 1 / rate) / n)
+
+
+def test_clashing_names(spark):
+    df = spark.range(50).selectExpr("id as doc_id", "'t' as text", "'s' as source", "'a' as copies", "'b' as row", "'c' as cdf", "'d' as parts", "'e' as salt", "'f' as own", "'g' as mixed_source", "'h' as copy")
+    out = mixing.mix(df)
+    assert out.columns == [c for c in df.columns if c != "copy"] + ["copy", "mix_key"]
+    assert {(r.copies, r.row, r.cdf, r.parts, r.salt, r.own, r.mixed_source) for r in out.collect()} == {tuple("abcdefg")}
+
+
+def test_sql_of_large_rates(spark, tmp_path, sf_dir):
+    spark.range(30).selectExpr("id as doc_id", "cast(id as string) as text", "'en' as lang", "case when id < 1 then 'rare' end as source", "1L as n_chars").write.parquet(str(tmp_path / "d"))
+    con = connect(sf_dir)
+    con.execute(f"create or replace view documents as select * from '{tmp_path}/d/*.parquet'")
+    sql = queries.ORACLE["op3_mixing"].replace("500.0", "0.7")
+    import unittest.mock
+
+    with unittest.mock.patch.object(mixing, "PART", 0.7):
+        same(mixing.mix(spark.read.parquet(str(tmp_path / "d"))), con.execute(sql).df())

@@ -1,15 +1,20 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are reduced to lower-case letters and digits with single spaces between. Items are cut into windows
-of WINDOW characters (half overlapping; a shorter item is one window). A window that lies in a text with at most k edits
+of WINDOW characters, one every STRIDE and one at the end (a shorter item is one window), so an excerpt of WINDOW + STRIDE - 1 characters
+holds a whole window wherever it starts. A window that lies in a text with at most k edits
 (k = a share EDITS of its length) shares at least length + 1 - Q - k Q of its q-grams with a stretch of the text, and those
 lie on diagonals (place in text less place in window) that differ by k at most. Hits are counted in bands of
 2 (k + 1) diagonals that overlap by half, bands that reach the bound are candidate regions, and each is verified by a
 banded alignment. Windows of fewer than Q characters, whose bound says nothing, must be met whole, between word borders.
 
-The benchmark is shared with the tasks in blocks of BLOCK windows at most, one pass over the texts for each block.
+The windows are written to the shared folder in blocks of about BLOCK; every task reads the blocks there one after the other and
+takes the texts that it holds (HELD bytes) past each, so neither the driver nor a task ever has the whole benchmark. The best
+window of an item (the most characters met, then the first place) is chosen over all blocks: their number changes nothing.
 
-Nulls: a null or empty text or item never matches; rows without an id keep their null. Extra columns are ignored.
+Nulls: a null or empty text or item never matches; rows without an id keep their null. Repeated rows of either table each count: a repeated
+document is found again, a repeated item_id is one item. Long texts are searched in overlapping stretches. Extra columns are
+ignored (keep_clean keeps them). Empty tables give an empty result, or all documents where there is no benchmark.
 """
 
 from __future__ import annotations
@@ -22,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, held, materialize, read_part, slices, table_path
 
-Q, WINDOW, EDITS = 12, 96, 0.06
-#: Windows in one block; with 96 q-grams of 16 bytes each, some 60 MB.
-BLOCK = 40_000
+Q, WINDOW, STRIDE, EDITS = 12, 96, 16, 0.06
+#: Windows in one block; with 96 q-grams of 16 bytes each, some 60 MB. Bytes of texts that a task takes past all blocks at once.
+BLOCK, HELD = 40_000, 64 << 20
 #: Long texts are searched in stretches of so many characters.
 STRETCH = 1 << 20
 _FILTER_BITS = 22
@@ -82,7 +87,7 @@ def windows_of(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
     for item, text in items:
         codes, _ = fold(text or "")
         last = max(0, len(codes) - WINDOW)
-        out += [(item, codes[at : at + WINDOW]) for at in sorted({*range(0, last, WINDOW // 2), last}) if len(codes)]
+        out += [(item, codes[at : at + WINDOW]) for at in sorted({*range(0, last, STRIDE), last}) if len(codes)]
     return out
 
 
@@ -168,10 +173,9 @@ def align(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int
     return (int(cost[end]), int(start[end]), end) if cost[end] <= budget else None
 
 
-def search(block: Block, text: str) -> list[tuple[int, int, int, int]]:
-    """item, start, end (places in the text), edits: the best window of every item found in the text."""
+def best_windows(block: Block, text: str, best: dict) -> dict:
+    """best with, for every item found in the text: edits less characters of the window, start, end (places in the text), edits."""
     codes, places = fold(text)
-    best: dict[int, tuple[int, int, int]] = {}
 
     def note(w, start, end, edits):
         item = block.items[w]
@@ -199,44 +203,71 @@ def search(block: Block, text: str) -> list[tuple[int, int, int, int]]:
             first = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(line, len(target)) == target).all(1))
             if len(first):
                 note(w, int(first[0]), int(first[0]) + len(window), 0)
+    return best
+
+
+def in_order(best: dict) -> list[tuple]:
     return [(item, start, end, edits) for item, (_, start, end, edits) in sorted(best.items(), key=lambda x: str(x[0]))]
 
 
+def search(block: Block, text: str) -> list[tuple[int, int, int, int]]:
+    """item, start, end (places in the text), edits: the best window of every item found in the text."""
+    return in_order(best_windows(block, text, {}))
+
+
 HITS = "doc_id long, item_id long, start long, end long, edits long"
 
 
-def _search_batches(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        rows = [(d, *hit) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t for hit in search(block.value, t)]
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "edits"])
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1 << 20):
+        found = windows_of(list(zip(*(batch.column(c).to_pylist() for c in ("item_id", "text")))))
+        yield pa.RecordBatch.from_arrays([pa.array([w[0] for w in found], pa.int64()), pa.array([w[1].astype("<u4").tobytes() for w in found], pa.binary())], ["item_id", "codes"])
+
+
+def shared_blocks(benchmark: DataFrame) -> tuple[str, int]:
+    """Write the windows of benchmark (item_id, text) in blocks to the shared folder; the folder and the number of blocks."""
+    spark = benchmark.sparkSession
+    windows = materialize(benchmark.select("item_id", "text").mapInArrow(_window_batches, "item_id long, codes binary"), "benchmark-windows")
+    n = -(-windows.count() // BLOCK)
+    folder = table_path(spark, "benchmark-blocks")
+    if n:
+        dealt = windows.withColumn("block", F.pmod(F.xxhash64("item_id", "codes"), F.lit(n)).cast("int"))
+        dealt.repartitionById(n, "block").write.partitionBy("block").parquet(folder)
+    return folder, n
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The windows of benchmark (item_id, text) in blocks; rows are streamed to the driver."""
-    waiting: list = []
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        waiting += windows_of([(row.item_id, row.text)])
-        while len(waiting) >= BLOCK:
-            yield Block(waiting[:BLOCK])
-            waiting = waiting[BLOCK:]
-    if waiting:
-        yield Block(waiting)
+@lru_cache(1)
+def _block(folder: str, k: int) -> Block:
+    items, codes = read_part(f"{folder}/block={k}", ["item_id", "codes"])
+    none = [None if x is None or x != x else int(x) for x in items]
+    return Block(sorted(((i, np.frombuffer(c, "<u4")) for i, c in zip(none, codes)), key=lambda x: (str(x[0]), x[1].tobytes())))
+
+
+def _found(batches: Iterator[pa.RecordBatch], folder: str, n: int) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+    """Batches with the best windows of each of their texts; with one block no text waits."""
+    for some in held(batches, "text", HELD if n > 1 else 0):
+        texts = [batch.column("text").to_pylist() for batch in some]
+        found: list[list[dict]] = [[{} for _ in batch] for batch in texts]
+        for k in range(n):
+            block = _block(folder, k)
+            for batch, best in zip(texts, found):
+                for text, have in zip(batch, best):
+                    if text:
+                        best_windows(block, text, have)
+        yield from zip(some, found)
+
+
+def _search_batches(batches: Iterator[pa.RecordBatch], folder: str, n: int) -> Iterator[pa.RecordBatch]:
+    for batch, found in _found(batches, folder, n):
+        rows = [(d, *hit) for d, best in zip(batch.column("doc_id").to_pylist(), found) for hit in in_order(best)]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "edits"])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end (code points of the text), edits: every item of which a window is found in a document."""
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    parts = [docs.mapInArrow(partial(_search_batches, block=spark.sparkContext.broadcast(b)), HITS) for b in blocks(benchmark)]
-    if not parts:
-        return spark.createDataFrame([], HITS)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    if len(parts) == 1:
-        return out
-    best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "end")).alias("b"))  # an item's windows may lie in two blocks
-    return best.select("doc_id", "item_id", "b.start", "b.end", "b.edits")
+    folder, n = shared_blocks(benchmark)
+    return docs.select("doc_id", "text").mapInArrow(partial(_search_batches, folder=folder, n=n), HITS) if n else docs.sparkSession.createDataFrame([], HITS)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,13 +275,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def _clean_batches(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        yield batch.filter(pa.array([not (t and search(block.value, t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+def _clean_batches(batches: Iterator[pa.RecordBatch], folder: str, n: int) -> Iterator[pa.RecordBatch]:
+    for batch, found in _found(batches, folder, n):
+        yield batch.filter(pa.array([not best for best in found], pa.bool_()))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item is found, in one pass for each block."""
-    for b in blocks(benchmark):
-        docs = docs.mapInArrow(partial(_clean_batches, block=docs.sparkSession.sparkContext.broadcast(b)), docs.schema)
-    return docs
+    """The rows of docs in which no benchmark item is found."""
+    folder, n = shared_blocks(benchmark)
+    return docs.mapInArrow(partial(_clean_batches, folder=folder, n=n), docs.schema) if n else docs
