@@ -1,19 +1,28 @@
 """Line deduplication against levelled sorted runs of line hashes; DataFrame functions only.
 
-A run is a table of (h1, h2, n): 96 bits of hash of a line key and the number of documents that hold it, sorted by hash
-inside hash-dealt files. A new batch merge-anti-joins the keys that the runs already decide (found in `min_docs`
-documents) and adds its other keys as a run of level 0; `fanout` runs of a level are merged into one of the next.
+A run is a bucketed table of (h1, h2, n): 96 bits of hash of a line key and the number of documents that hold it, dealt by hash
+into the same number of buckets as every other run and sorted in each. A new batch is dealt the same way once and merge-anti-joins
+the runs one after the other, each as it lies, without an exchange or a sort of the run: keys that a run by itself decides (found in
+`min_docs` documents) are not taken in again. The batch's other keys become a run of level 0; `fanout` runs of a level are merged into one
+of the next, where counts add up. The runs and their levels stand in a list beside them, so a later session can open the
+folder and go on.
 
 Nulls: a null text is one empty line. A row counts as one document even if its doc_id is null or repeated. Lines whose
-key is empty are never dropped.
+key is empty are never dropped. Ties: of a key's lines all go or none. Very long texts and lines are split and hashed like any other.
+Empty tables give empty results. Extra columns stay, under any name; clean() replaces columns named n_lines, n_dropped or kept.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_table, materialize
+from .common import documents, drop_folder, materialize, table_path
 
 #: Characters stripped at both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -29,65 +38,131 @@ def key_of(line: Column) -> Column:
     return F.when(F.octet_length(line) == F.length(line), F.lower(F.btrim(line, F.lit(BLANK)))).otherwise(F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER))
 
 
+def hashes_of(key: Column) -> tuple[Column, Column]:
+    return F.xxhash64(key).alias("h1"), F.hash(key).alias("h2")
+
+
+@contextmanager
+def _as_sorted(spark: SparkSession):
+    """Plans made inside take the buckets of a table as sorted (a run has one file for each), and anti-join after a batch is aggregated, not before."""
+    for_now = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"}
+    before = {name: spark.conf.get(name, None) for name in for_now}
+    for name, value in for_now.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 class LineRuns:
-    """The levelled runs. Every run is a table in the shared folder; nothing is kept on the driver but their list."""
+    """The levelled runs in a folder of the shared file system (a new one, or one of an earlier session that is opened again).
 
-    def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 3):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[DataFrame]] = []
+    buckets: of every run; a folder's own number where it has runs. The number of runs is fanout x log(batches) at most.
+    """
 
-    def _write(self, counts: DataFrame) -> DataFrame:
-        return materialize(counts.repartition("h1").sortWithinPartitions("h1", "h2"), "line-run")
+    def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 3, folder: str | None = None, buckets: int | None = None):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.folder = folder or table_path(spark, "line-runs")
+        self.levels: list[list[str]] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        listed = [r.value for r in spark.read.text(f"{self.folder}/list").collect()] if self._exists(f"{self.folder}/list") else []
+        if listed:
+            state = json.loads(max(listed, key=lambda x: json.loads(x)["version"]))
+            self.levels, self.buckets, self.version = state["levels"], state["buckets"], state["version"]
+        else:
+            self.version = 0
+
+    def _exists(self, folder: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _note(self) -> None:
+        """Append the list of runs as it is now; the highest version counts."""
+        self.version += 1
+        state = json.dumps({"version": self.version, "levels": self.levels, "buckets": self.buckets})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/list")
+
+    def _write(self, counts: DataFrame) -> str:
+        """counts (h1, h2, n), dealt into the buckets, as a run."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        counts.select("h1", "h2", "n").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def run(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):  # written by another session
+            self.spark.sql(f"create table {name} (h1 bigint, h2 int, n bigint) using parquet clustered by (h1, h2) sorted by (h1, h2) into {self.buckets} buckets location '{self.folder}/{name}'")
+        return self.spark.table(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        drop_folder(self.spark, f"{self.folder}/{name}")
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """h1, h2, n over some runs: merge joins of sorted buckets."""
+        parts = [self.run(name) for name in names]
+
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            met = a.alias("a").hint("merge").join(b.alias("b"), ["h1", "h2"], "full")
+            return met.select("h1", "h2", (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
+
+        return reduce(both, parts)
 
-    def totals(self) -> DataFrame:
-        """h1, h2, n over all runs."""
-        runs = [run for level in self.levels for run in level]
+    def decided(self) -> DataFrame:
+        """h1, h2 of the keys found in min_docs documents or more, over all runs; a table."""
+        runs = [name for level in self.levels for name in level]
         if not runs:
-            return self.spark.createDataFrame([], "h1 long, h2 int, n long")
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out if len(runs) == 1 else out.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            return self.spark.createDataFrame([], "h1 long, h2 int")
+        with _as_sorted(self.spark):
+            return materialize(self._merged(runs).filter(F.col("n") >= self.min_docs).select("h1", "h2"), "decided-keys")
 
-    def decided(self) -> DataFrame:
-        """h1, h2 of the keys found in min_docs documents or more."""
-        return self.totals().filter(F.col("n") >= self.min_docs).select("h1", "h2")
+    def new_keys(self, docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
+        """h1, h2, n of a batch's keys but those that one of the runs decides; dealt and sorted as the runs are."""
+        keys = F.array_distinct(F.transform(lines_of(text), key_of))
+        keys = docs.select(F.explode(keys).alias("key")).filter(F.length("key") >= min_chars)
+        batch = keys.select(*hashes_of(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).repartition(self.buckets, "h1", "h2")
+        for level in self.levels:
+            for name in level:
+                batch = batch.hint("merge").join(self.run(name).filter(F.col("n") >= self.min_docs), ["h1", "h2"], "left_anti")
+        return batch
 
     def add(self, docs: DataFrame, text: str = "text", min_chars: int = 1) -> None:
         """Take in a batch of documents."""
-        keys = F.array_distinct(F.transform(lines_of(text), key_of))
-        keys = docs.select(F.explode(keys).alias("key")).filter(F.length("key") >= min_chars)
-        batch = keys.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")).groupBy("h1", "h2").agg(F.count("*").alias("n"))
-        if self.levels:
-            batch = batch.hint("merge").join(self.decided(), ["h1", "h2"], "left_anti")
-        run, level = self._write(batch), 0
-        while True:
-            if len(self.levels) <= level:
-                self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < self.fanout:
-                return
-            full, self.levels[level] = self.levels[level], []
-            merged = full[0]
-            for part in full[1:]:
-                merged = merged.unionByName(part)
-            run = self._write(merged.groupBy("h1", "h2").agg(F.sum("n").alias("n")))
-            for part in full:
-                drop_table(part)
-            level += 1
-
-    def clean(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        with _as_sorted(self.spark):
+            run, level, gone = self._write(self.new_keys(docs, text, min_chars)), 0, []
+            while True:
+                if len(self.levels) <= level:
+                    self.levels.append([])
+                self.levels[level].append(run)
+                if len(self.levels[level]) < self.fanout:
+                    break
+                full, self.levels[level] = self.levels[level], []
+                run = self._write(self._merged(full))
+                gone += full
+                level += 1
+        self._note()
+        for name in gone:
+            self._drop(name)
+
+    def clean(self, docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
         """docs with n_lines, n_dropped and kept (the text without the lines whose keys are decided)."""
-        mark = docs.withColumn("_row", F.xxhash64("doc_id", text))  # what is dropped depends on the text alone, so rows may share it
-        lines = mark.select("_row", F.posexplode(lines_of(text)).alias("pos", "line"))
-        lines = lines.select("_row", "pos", key_of(F.col("line")).alias("key")).select("_row", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
-        decided = materialize(self.decided(), "decided-keys")  # a table, so that a hot key's lines can be split over tasks
-        hit = lines.hint("merge").join(decided, ["h1", "h2"], "left_semi")
-        drop = hit.groupBy("_row").agg(F.collect_set("pos").alias("_drop"))
-        out = mark.join(drop, "_row", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>"))).withColumn("_lines", lines_of(text))
-        left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-        kept = F.when(F.size("_drop") == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-        return out.select(*docs.columns, F.size("_lines").cast("long").alias("n_lines"), F.size("_drop").cast("long").alias("n_dropped"), kept.alias("kept"))
+        columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+        packed = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("body"))
+        # what is dropped depends on the text alone, so rows of one text may share a name of 128 bits
+        mark = packed.withColumn("r1", F.xxhash64("body")).withColumn("r2", F.xxhash64(F.lit("line"), F.length("body"), "body"))
+        lines = mark.select("r1", "r2", F.posexplode(lines_of("body")).alias("pos", "line"))
+        lines = lines.select("r1", "r2", "pos", key_of(F.col("line")).alias("key")).filter(F.length("key") >= min_chars).select("r1", "r2", "pos", *hashes_of(F.col("key")))
+        hit = lines.hint("merge").join(self.decided(), ["h1", "h2"], "left_semi")  # a table, so that a hot key's lines can be split over tasks
+        drop = hit.groupBy("r1", "r2").agg(F.collect_set("pos").alias("drop"))
+        out = mark.join(drop, ["r1", "r2"], "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>"))).withColumn("lines", lines_of("body"))
+        left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+        kept = F.when(F.size("drop") == 0, F.coalesce(F.col("body"), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+        out = out.select("row", F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), kept.alias("kept"))
+        return out.select(*(F.col("row").getField(c).alias(c) for c in columns), "n_lines", "n_dropped", "kept")
 
 
 def in_batches(docs: DataFrame, n: int) -> list[DataFrame]:

@@ -7,7 +7,8 @@ samples stand FRAME - HOP of the mean of the FRAME next to them: every sample li
 other, and 64 samples lie in four. Each peak is paired with the peaks of the AHEAD next frames. A
 fingerprint is two arrays: the time (frame number) and the code (bin, other bin, frames between), in order.
 
-Nulls: a null text counts as empty. Equal texts have equal values; other columns are ignored.
+Nulls: a null text counts as empty, a null doc_id stays null. Equal texts have equal values, repeated rows each have theirs; peaks that tie go to the
+lowest bin. A long text is one WAV whose spectra are made in pieces. An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,10 +117,12 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             payload = from_wav(media)
             times, codes = fingerprint(np.frombuffer(payload, np.uint8))
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), times, codes))
-        cols = list(zip(*rows))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        *cols, times, codes = zip(*rows)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        ends = np.concatenate(([0], np.cumsum([len(t) for t in times]))).astype(np.int32)
+        pairs = [pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in (times, codes)]
         names = [c.split()[0] for c in READ.split(", ")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds)), *pairs], names)
 
 
 def read(media: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def read(media: DataFrame) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the whole documents table stored as WAV in a table of the shared folder, and what is read back from it."""
+    """Texts of the whole documents table stored as WAV in a table of the shared folder, and what is read back from it, times and codes included."""
     got = read(materialize(encode(documents(spark, sf_dir)), "media"))
     text = F.concat_ws(":", F.size("times").cast("string"), F.hex(F.xxhash64("times", "codes")), F.array_join(F.slice(F.transform("codes", lambda c: c.cast("string")), 1, 4), "-"))
-    return got.withColumn("feature", text).drop("times", "codes")
+    return got.withColumn("feature", text)

@@ -85,7 +85,8 @@ def _drawn(packed: DataFrame, rated: DataFrame, seed: int) -> DataFrame:
 def replicate(docs: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:
     """docs with copies (how often the row appears; a column of that name is replaced), without the rows that get none."""
     drawn = _drawn(docs.select(F.struct(*docs.columns).alias("row")), rated, seed)
-    return drawn.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "copies"), "copies")
+    drawn = drawn.select("row", F.col("copies").alias("drawn_copies"))
+    return drawn.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "copies"), F.col("drawn_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, seed: int = 17) -> DataFrame:

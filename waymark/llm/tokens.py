@@ -5,7 +5,9 @@ the width of an id (2 or 4), then the frames one after the other, then the index
 file order), then a trailer: documents (u64), place of the index (u64), magic. A short document is read by its index record
 and one range of bytes. The dictionary lies beside the files as `dictionary`.
 
-Nulls: a null text is empty; rows without doc_id come first. Rows that repeat a doc_id stay, in order of their ids' crc32.
+Nulls: a null text is empty; rows without doc_id come first. Rows that repeat a doc_id stay, in order of their ids' crc32 (ties: rows with
+equal ids, in any order). A long text is one frame; texts go to the tokenizer whole. An empty table gives no file and no row.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +23,22 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, table_path
+from .common import documents, materialize, open_folder, slices, table_path
 
 MAGIC = b"WMTOK001"
 TRAILER = struct.Struct("<QQ8s")
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
 #: A file is closed once its frames hold so many bytes.
 FILE_BYTES = 32 << 20
-#: The dictionary is trained on about so many documents, picked by a hash of doc_id, and on so many bytes of ids at most.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 24 << 20, 112_640
+#: The dictionary is trained on the documents with the smallest hashes of doc_id and text, on so many characters of each from a place that
+#: the hash gives. What it is trained on changes the size of the files, never the ids in them.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 4000, 8192, 112_640
+#: Bytes of files that one task of read_corpus reads, about.
+READ_BYTES = 128 << 20
 #: Words kept with their ids in each Python worker, first come; frequent words come early.
 WORDS_KEPT = 900_000
 END_ID = 1
@@ -115,15 +119,13 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int =
     n = docs.count()
     if not n:
         return b""
-    share = min(1.0, SAMPLE_DOCS / n)
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * SAMPLE_DOCS)
-    sample, size = [], 0
-    for row in token_ids(picked, tokenizer, end_id, kept).toLocalIterator():
-        sample.append(_narrow(bytes(row.ids), width))
-        size += len(sample[-1])
-        if size > SAMPLE_BYTES:
-            break
-    sample.sort()
+    share = min(1.0, 2 * SAMPLE_DOCS / n + 1e-6)  # a first cut, so that few rows are compared
+    text = F.coalesce("text", F.lit(""))
+    some = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h")).filter(F.col("h") < int(share * (1 << 40)))
+    from_ = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    some = some.select("doc_id", F.substring("text", from_, F.lit(SAMPLE_CHARS)).alias("text"), "h").orderBy("h", "doc_id", "text").limit(SAMPLE_DOCS)
+    parts = some.repartition(8)  # bounded: SAMPLE_DOCS x SAMPLE_CHARS
+    sample = sorted(_narrow(bytes(row.ids), width) for row in token_ids(parts, tokenizer, end_id, kept).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
@@ -139,13 +141,9 @@ def _frame_batches(batches, tokenizer, end_id, kept, dictionary, width):
             ["doc_id", "n_tokens", "crc", "frame"])
 
 
-def _open(folder: str):
-    return fs.FileSystem.from_uri(folder)
-
-
 def _write_batches(batches, folder, digest, width):
     """Write this partition's frames, in order, as files; a row for each. Names are new for each attempt of a task."""
-    system, root = _open(folder)
+    system, root = open_folder(folder)
     task = TaskContext.get()
     part, seq, frames, index, at = task.partitionId(), 0, [], [], 0
 
@@ -161,7 +159,7 @@ def _write_batches(batches, folder, digest, width):
             table["start"] += len(head)
             out.write(table.tobytes())
             out.write(TRAILER.pack(len(index), len(head) + at, MAGIC))
-        row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "docs": len(index), "tokens": int(table["n_tokens"].sum(dtype=np.int64))}])
+        row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "docs": len(index), "tokens": int(table["n_tokens"].sum(dtype=np.int64)), "bytes": at}])
         seq, frames, index, at = seq + 1, [], [], 0
         return row
 
@@ -177,14 +175,14 @@ def _write_batches(batches, folder, digest, width):
 
 
 def write_corpus(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int = 49_408, end_id: int = END_ID, kept: int = WORDS_KEPT) -> DataFrame:
-    """Write docs (doc_id, text) as token files in ascending order of doc_id; the manifest: part, seq, file, docs, tokens, start.
+    """Write docs (doc_id, text) as token files in ascending order of doc_id; the manifest: part, seq, file, docs, tokens, bytes, start, number.
 
     The manifest has one row for a file, so the running total over it is made in one task.
     """
     spark, width = docs.sparkSession, 2 if vocabulary <= 65_536 else 4
     dictionary = train_dictionary(docs, tokenizer, width, end_id, kept)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
-    system, root = _open(folder)
+    system, root = open_folder(folder)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/dictionary") as out:
         out.write(dictionary)
@@ -192,17 +190,28 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int =
     frames = materialize(frames, "token-frames", "none").withColumn("row", F.monotonically_increasing_id())
     order = ["doc_id", "crc", "row"]
     dealt = frames.repartitionByRange(*order).sortWithinPartitions(*order)
-    files = dealt.mapInArrow(partial(_write_batches, folder=folder, digest=digest, width=width), "part long, seq long, file string, docs long, tokens long")
+    files = dealt.mapInArrow(partial(_write_batches, folder=folder, digest=digest, width=width), "part long, seq long, file string, docs long, tokens long, bytes long")
     files = materialize(files, "token-manifest")
     before = F.sum("tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("start", F.coalesce(before, F.lit(0)))
+    return files.withColumn("start", F.coalesce(before, F.lit(0))).withColumn("number", F.row_number().over(Window.orderBy("part", "seq")))
+
+
+@lru_cache(1)
+def _dictionary(folder: str, digest: bytes, size: int, changed: int) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary of a folder's files, read once by each worker for files of the same digest while it has this size and time."""
+    system, root = open_folder(folder)
+    with system.open_input_stream(f"{root}/dictionary") as f:
+        dictionary = f.read()
+    if digest != (hashlib.sha256(dictionary).digest() if dictionary else bytes(32)):
+        raise ValueError(f"the files of {folder} were written with another dictionary")
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
 class TokenFile:
     """One file, for access to single documents."""
 
     def __init__(self, folder: str, name: str):
-        system, root = _open(folder)
+        system, root = open_folder(folder)
         self.file = system.open_input_file(f"{root}/{name}")
         size = self.file.size()
         n, place, magic = TRAILER.unpack(self.file.read_at(TRAILER.size, size - TRAILER.size))
@@ -211,11 +220,8 @@ class TokenFile:
             raise ValueError(f"{name} is no token file")
         self.width = head[-1]
         self.index = np.frombuffer(self.file.read_at(n * INDEX.itemsize, place), INDEX)
-        with system.open_input_stream(f"{root}/dictionary") as f:
-            dictionary = f.read()
-        if head[len(MAGIC) : -1] != (hashlib.sha256(dictionary).digest() if dictionary else bytes(32)):
-            raise ValueError(f"{name} was written with another dictionary")
-        self._unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        state = system.get_file_info(f"{root}/dictionary")
+        self._unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(folder, bytes(head[len(MAGIC) : -1]), state.size, state.mtime_ns))
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the k-th document, as u32."""
@@ -241,8 +247,10 @@ def _read_batches(batches, folder):
 
 def read_corpus(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, all from the files."""
-    files = manifest.select("file", "start").repartition("file")
-    return files.mapInArrow(partial(_read_batches, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    size = manifest.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(1, min(size.files, max(-(-(size.bytes or 0) // READ_BYTES), manifest.sparkSession.sparkContext.defaultParallelism * 4)))
+    files = manifest.select("file", "start", F.pmod("number", F.lit(tasks)).cast("int").alias("task")).repartitionById(tasks, "task")
+    return files.select("file", "start").mapInArrow(partial(_read_batches, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, kept: int = WORDS_KEPT) -> DataFrame:
