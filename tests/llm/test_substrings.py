@@ -24,6 +24,44 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
         assert len(out[d].text) == len(text) - cut
 
 
+def brute(rows, min_words=0):
+    """Places of every removed unit, joined to passages, by the definition."""
+    first, every = {}, []
+    for row, (doc, text) in enumerate(rows):
+        seq = 0
+        for start, end, words in S.units(text or ""):
+            if len(words) >= min_words:
+                key, rank = " ".join(words), (doc is not None, doc or 0, row, seq)
+                every.append((key, rank, row, doc, seq, start, end, len(words)))
+                first[key] = min(first.get(key, rank), rank)
+                seq += 1
+    out = []
+    for key, rank, row, doc, seq, start, end, n in every:
+        if first[key] != rank:
+            if out and out[-1][0] == row and out[-1][1] == seq - 1:
+                out[-1] = (row, seq, doc, out[-1][3], end, out[-1][5] + n, out[-1][6] + 1)
+            else:
+                out.append((row, seq, doc, start, end, n, 1))
+    return sorted((doc is not None, doc or 0, start, end, n, k) for _, _, doc, start, end, n, k in out)
+
+
+def test_passages_against_brute_force(spark, docs, odd):
+    for df, least in ((docs, 0), (docs, 5), (odd, 0)):
+        rows = [(r.doc_id, r.text) for r in df.coalesce(1).select("doc_id", "text").collect()]
+        got = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.end, r.words, r.units) for r in S.passages(df.coalesce(1), least).collect())
+        assert got == brute(rows, least) and got
+
+
+def test_text_shared_inside_a_run_on_line_is_found(spark):
+    inner = " ".join(f"shared{k * 7919 % 997}" for k in range(60))
+    rows = [(k, " ".join(f"own{k}x{j}" for j in range(45 + 13 * k)) + " " + inner + " " + " ".join(f"end{k}y{j}" for j in range(30))) for k in range(4)]
+    got = {r.doc_id: r for r in S.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3}
+    for d, r in got.items():
+        at = rows[d][1].index(inner)
+        assert r.words >= 25 and at <= r.start + len("shared000") and r.end <= at + len(inner)
+
+
 def test_first_by_id_stays_in_any_order(spark):
     rows = [(9, PASSAGE), (3, PASSAGE), (5, PASSAGE), (3, PASSAGE)]
     got = sorted(r.doc_id for r in S.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -31,7 +69,7 @@ def test_first_by_id_stays_in_any_order(spark):
 
 
 def test_query_against_shingles(spark, sf_dir, texts):
-    flagged = {r.doc_id for r in S.op5_substring_dedup(spark, sf_dir).collect()}
+    flagged = {r.doc_id for r in S.op5_substring_dedup(spark, sf_dir).collect() if r.n_long}
     seen, want = {}, set()
     for d in sorted(texts):
         words = S._WORD.findall(texts[d].lower())
@@ -43,7 +81,7 @@ def test_query_against_shingles(spark, sf_dir, texts):
 
 
 def test_odd_rows(odd, none):
-    assert {r.doc_id for r in S.passages(odd).collect()} == {6, 7}
+    assert {r.doc_id for r in S.passages(odd).collect()} == {4, 6, 7}  # 4 says the same words over and over
     out = S.remove(odd)
     assert out.count() == odd.count() and set(out.columns) == set(odd.columns)
     assert S.passages(none).count() == 0 and S.remove(none).count() == 0
@@ -52,6 +90,8 @@ def test_odd_rows(odd, none):
 def test_a_single_repeated_unit_is_removed(spark):
     line = "Everyone went home in the rain."
     rows = [(1, "The first text.\n" + line), (2, line + "\nAnother beginning of the second."), (3, line), (4, "In the rain.\nIn the rain.")]
-    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id) for r in S.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id) for r in S.passages(df, min_words=4).collect())
     assert got == [(2, 0, len(line), 1), (3, 0, len(line), 1)]
+    assert sorted((r.doc_id, r.start) for r in S.passages(df).collect()) == [(2, 0), (3, 0), (4, 13)]  # no least size unless one is asked for
     assert {r.doc_id: r.text for r in S.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[3] == ""
