@@ -97,20 +97,70 @@ def test_near_copies_of_the_stage(spark):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in rng.integers(0, 5000, 400)]
     copies = []
-    for k in range(12):  # 8 changed words in 400: a Jaccard index of about 0.82 on five-word shingles
+    for k in range(12):  # 8 changed words in 400: a Jaccard index of about 0.82 on five-word shingles with the text they come from
         own = list(words)
         for at in rng.permutation(400)[:8]:
             own[at] = f"x{k}{at}"
-        copies.append((k, " ".join(own)))
+        copies.append((k + 1, " ".join(own)))
     clean = [(100 + k, " ".join(f"w{j}" for j in rng.integers(0, 5000, 400))) for k in range(40)]
-    df = spark.createDataFrame(copies[:2] + clean, "doc_id long, text string")
+    df = spark.createDataFrame([(0, " ".join(words)), *copies[:2], *clean], "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == {0} | {c[0] for c in clean}
+    two = spark.createDataFrame(copies[:2], "doc_id long, text string")  # 0.69 to one another: no link without the text between
+    assert {r.doc_id for r in simhash.keep_one(two).collect()} == {1, 2}
+
+
+def brute_sets(rows):
+    """The least id of each component of pairs with a Jaccard index of 0.8 or more, by comparing all."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("tiles", [False, True])
+def test_the_stage_against_brute_force(spark, texts, monkeypatch, tiles):
+    rng = np.random.default_rng(9)
+    base = [f"w{j}" for j in rng.integers(0, 5000, 120)]
+    rows = list(texts.items())
+    for k in range(60):  # a large group of near copies, with links and without
+        own = list(base)
+        for at in rng.permutation(120)[: rng.integers(0, 4)]:
+            own[at] = f"x{k}"
+        rows.append((10_000 + k, " ".join(own)))
+    if tiles:
+        monkeypatch.setattr(simhash, "SET_TILE", 4000)
+        monkeypatch.setattr(simhash, "TILE", 16)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.STAGE).collect()}
+    assert got == brute_sets(rows)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    body = (" ".join(f"Word{k * 37 % 101}" for k in range(3000)) + "\n").encode() * 3
+    whole = simhash.shingle_hashes(body, 5)
+    monkeypatch.setattr(simhash, "PIECE", 64)
+    assert (simhash.shingle_hashes(body, 5) == whole).all() and len(whole) == 9000 - 4
+    assert (simhash.shingle_hashes(b"a  B c", 5) == simhash.shingle_hashes(b"A b C", 5)).all() and not len(simhash.shingle_hashes(b" \n" * 90, 5))
 
 
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 80)] + [(5, 5)]
+    edges += [(5000, 4000 + k) for k in range(600)] + [(4001, 3000), (4001, 3000), (None, 7)]  # a hub that is not the least node
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(80)}
+    assert got == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(80)} | dict.fromkeys([3000, 5000, *range(4000, 4600)], 3000)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_the_stage_links_by_exact_similarity(spark):
@@ -137,7 +187,7 @@ def test_the_stage_links_by_exact_similarity(spark):
 def test_cells_link_what_all_agreed_pairs_link(size):
     rng = np.random.default_rng(size)
     words = np.unique(rng.integers(0, 2**10, (size, 1), np.uint64), axis=0)
-    agreed = lambda a, b: (a + b) % 3 == 0
+    agreed = lambda a, b: (a + b) % 3 == 0  # noqa: E731  b: a number or an array
     links = simhash.cell_links(np.zeros(len(words), np.int64), words, 4, agreed)
     assert all(agreed(a, b) for a, b in links)
 
