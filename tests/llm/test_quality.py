@@ -76,3 +76,35 @@ def test_odd_rows(spark, odd, none):
     rows = Q.classify(odd, labels).collect()
     assert len(rows) == odd.count() and all(r.perplexity is None and not r.keep for r in rows if r.doc_id in (2, 3))
     assert Q.classify(none, labels).count() == 0 and Q.classify(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_bounds_and_keep_by_the_definition(spark):
+    at = "/root/testdata/sf0.01"
+    rows = Q.op1_quality(spark, at).collect()
+    labels = spark.read.parquet(f"{at}/labels.parquet").filter("quality = 1 and coalesce(toxic, 0) = 0")
+    aside = {r.doc_id for r in labels.selectExpr("doc_id", "pmod(xxhash64(coalesce(doc_id, 0L)), 5) = 0 as a").collect() if r.a}
+    held = [r for r in rows if r.doc_id in aside and r.perplexity is not None]
+
+    def quantile(q, some):
+        at = sorted(r.perplexity for r in some)
+        return at[max(0, math.ceil(q * len(at)) - 1)]
+
+    langs = {r.lang for r in rows}
+    assert len(langs) > 3
+    for lang in langs:
+        own = [r for r in held if r.lang == lang]
+        w = len(own) / (len(own) + Q.PRIOR)
+        low, high = (math.exp((w * math.log(quantile(q, own)) if own else 0) + (1 - w) * math.log(quantile(q, held))) for q in (Q.LOW, Q.HIGH))
+        for r in rows:
+            if r.lang == lang:
+                assert math.isclose(r.low, low / Q.MARGIN, rel_tol=1e-6) and math.isclose(r.high, high * Q.MARGIN, rel_tol=1e-6) and math.isclose(r.own_weight, w)
+                assert r.keep == (r.perplexity is not None and r.low <= r.perplexity <= r.high)
+    assert len({r.high for r in rows}) == len(langs)
+
+
+def test_long_texts_are_folded_in_pieces(monkeypatch):
+    text = "Some  text 12\n\n with   blanks " * 20
+    whole = Q.symbols(text)
+    for size in (1, 3, 7, 64):
+        monkeypatch.setattr(Q, "PIECE", size)
+        assert (Q.symbols(text) == whole).all() and len(Q.symbols("")) == Q.ORDER - 1
