@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a new local folder if the master is local; else an error, as executors would not see one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = getattr(spark, "_waymark_tables", None) or "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark._waymark_tables = path
-    return path.rstrip("/")
+        path = getattr(spark, "_waymark_tables", None)
+        if path is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = spark._waymark_tables = "file://" + tempfile.mkdtemp(prefix="waymark-")
+    return f"{path.rstrip('/')}/waymark/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table and read back."""
-    path = f"{shared_folder(df.sparkSession)}/waymark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove every table that written() has made in this application, once no result reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
