@@ -117,7 +117,7 @@ class Block:
         if not len(at) or not len(self.code):
             return []
         lo, hi = np.searchsorted(self.code, grams[at], "left"), np.searchsorted(self.code, grams[at], "right")
-        out: dict[tuple[int, int], int] = {}
+        keys, times = [], []
         counts = np.cumsum(hi - lo)
         start = 0
         while start < len(at):  # some million hits at a time
@@ -126,20 +126,19 @@ class Block:
             if n.sum():
                 hit = np.repeat(lo[start:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 w = self.window[hit]
-                step = self.budget[w] + 1
-                band = (np.repeat(at[start:end], n) - self.offset[hit]) // step
-                key = (w << 40) + band + (1 << 39)
-                for k in (key, key - 1):  # a band starts at each multiple of step and is two steps wide
-                    found, count = np.unique(k, return_counts=True)
-                    for a, b in zip(found.tolist(), count.tolist()):
-                        out[a] = out.get(a, 0) + b
+                band = (np.repeat(at[start:end], n) - self.offset[hit]) // (self.budget[w] + 1)
+                found, count = np.unique((w << 40) + band + (1 << 39), return_counts=True)
+                keys += [found - 1, found]  # a band starts at each multiple of step and is two steps wide
+                times += [count, count]
             start = end
-        picked = []
-        for k, n in out.items():
-            w = k >> 40
-            if n >= self.least[w]:
-                picked.append((w, ((k & ((1 << 40) - 1)) - (1 << 39)) * int(self.budget[w] + 1)))
-        return picked
+        if not keys:
+            return []
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate(times)).astype(np.int64)
+        w = found >> 40
+        enough = total >= self.least[w]
+        w, band = w[enough], (found[enough] & ((1 << 40) - 1)) - (1 << 39)
+        return list(zip(w.tolist(), (band * (self.budget[w] + 1)).tolist()))
 
 
 def align(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
@@ -173,6 +172,14 @@ def align(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int
     return (int(cost[end]), int(start[end]), end) if cost[end] <= budget else None
 
 
+def whole(window: np.ndarray, region: np.ndarray) -> int | None:
+    """The first place in region where the window stands without an edit."""
+    if len(region) < len(window):
+        return None
+    at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(region, len(window)) == window).all(1))
+    return int(at[0]) if len(at) else None
+
+
 def best_windows(block: Block, text: str, best: dict) -> dict:
     """best with, for every item found in the text: edits less characters of the window, start, end (places in the text), edits."""
     codes, places = fold(text)
@@ -185,12 +192,21 @@ def best_windows(block: Block, text: str, best: dict) -> dict:
 
     for base in range(0, max(len(codes), 1), STRETCH):
         part = codes[base : base + STRETCH + 2 * WINDOW]
-        tried = set()
+        tried, rest = set(), []
         for w, diagonal in sorted(block.regions(part)):
             k, window = int(block.budget[w]), block.windows[w]
-            if (w, diagonal - k - 1) in tried:  # the half-overlapping band before was a match
-                continue
             lo, hi = max(0, diagonal - k), min(len(part), diagonal + len(window) + 3 * (k + 1))
+            first = whole(window, part[lo:hi])
+            if first is None:
+                rest.append((w, diagonal, k, lo, hi))
+            else:
+                tried.add((w, diagonal))
+                note(w, base + lo + first, base + lo + first + len(window), 0)
+        for w, diagonal, k, lo, hi in rest:
+            window, have = block.windows[w], best.get(block.items[w])
+            # nothing to gain from a match the half-overlapping band before had, nor from one edit or more where less is met already
+            if (w, diagonal - k - 1) in tried or not k or (have and have[:2] <= (1 - len(window), int(places[base + lo]))):
+                continue
             got = align(window, part[lo:hi], k)
             if got:
                 tried.add((w, diagonal))
