@@ -124,7 +124,9 @@ class LineRuns:
         """h1, h2, n of a batch's keys but those that one of the runs decides; dealt and sorted as the runs are."""
         keys = F.array_distinct(F.transform(lines_of(text), key_of))
         keys = docs.select(F.explode(keys).alias("key")).filter(F.length("key") >= min_chars)
-        batch = keys.select(*hashes_of(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).repartition(self.buckets, "h1", "h2")
+        batch = keys.select(*hashes_of(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):  # else the keys lie in the buckets already
+            batch = batch.repartition(self.buckets, "h1", "h2")
         for level in self.levels:
             for name in level:
                 batch = batch.hint("merge").join(self.run(name).filter(F.col("n") >= self.min_docs), ["h1", "h2"], "left_anti")
@@ -152,8 +154,8 @@ class LineRuns:
         """docs with n_lines, n_dropped and kept (the text without the lines whose keys are decided)."""
         columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
         packed = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("body"))
-        # what is dropped depends on the text alone, so rows of one text may share a name of 128 bits
-        mark = packed.withColumn("r1", F.xxhash64("body")).withColumn("r2", F.xxhash64(F.lit("line"), F.length("body"), "body"))
+        # rows are named by 128 bits of all their columns; equal rows lose the same lines, so they may share a name
+        mark = packed.withColumn("r1", F.xxhash64("row")).withColumn("r2", F.xxhash64(F.lit("line"), "row"))
         lines = mark.select("r1", "r2", F.posexplode(lines_of("body")).alias("pos", "line"))
         lines = lines.select("r1", "r2", "pos", key_of(F.col("line")).alias("key")).filter(F.length("key") >= min_chars).select("r1", "r2", "pos", *hashes_of(F.col("key")))
         hit = lines.hint("merge").join(self.decided(), ["h1", "h2"], "left_semi")  # a table, so that a hot key's lines can be split over tasks
