@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from waymark.operators import correction, elevation, ingestion, motion, sampling, temporal
+from waymark.operators import correction, elevation, faults, ingestion, motion, sampling, temporal
 from waymark.plans import binding
 from waymark.sources import documents, gpx, synthetic
 from pyspark.sql import functions as F
@@ -44,7 +44,13 @@ def test_reference_points_keep_bad_coordinates(rows):
 def test_labels_of_a_document(rows):
     raw = gpx.raw_points(rows)
     pts = ingestion.accepted(raw)
-    assert ingestion.counts(raw).first().asDict() | {"track_id": 0} == {"track_id": 0, "total": 8, "valid": 6, "rejected": 2, "segments": 1, "has_any_time": True, "multi_segment": False}
+    whole = ingestion.counts(raw, gpx.structure(rows)).first().asDict()  # the empty segment counts
+    assert whole == {"track_id": "a", "total": 8, "valid": 6, "rejected": 2, "segments": 2, "waypoints": 1, "routes": 1, "has_any_time": True, "has_waypoints": True, "has_routes": True, "multi_segment": True}
+    assert ingestion.counts(raw).first().segments == 1  # points alone don't tell of it
+    parts = {r.trk_seg_index: r for r in ingestion.segment_summaries(raw, gpx.structure(rows)).collect()}
+    assert (parts[0].point_count, parts[0].usable_time_count, parts[1].point_count, parts[1].usable_time_count, parts[1].first_ms) == (8, 4, 0, 0, None)
+    times = {r.trk_seg_index: r.times for r in ingestion.segment_times(raw, gpx.structure(rows)).collect()}
+    assert [t - times[0][0] for t in times[0]] == [0, 10_000, 10_000, 5_000] and times[1] == []
     assert {(r.gpx_index, r.reason_code) for r in ingestion.rejections(raw).collect()} == {(3, "not_a_number"), (5, "out_of_range")}
     assert "not parseable" in raw.filter("gpx_index = 3").select(gpx.rejection_text().alias("x")).first().x
     tags = {(r.tag, r.gpx_index) for r in temporal.tag_index(temporal.labels(pts)).collect()}
@@ -63,10 +69,23 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in gpx.read_directory(spark, str(tmp_path)).collect()] == [("one", "<gpx/>")]
     (tmp_path / "c.csv").write_text('_id,name,gpx\nt1,"A ""b""","<gpx>\n</gpx>"\n,none,<gpx/>\nt3,empty,\n')
     got = {r.track_id: r.gpx for r in gpx.read_csv(spark, str(tmp_path / "c.csv")).collect()}
-    assert got["t1"] == "<gpx>\n</gpx>" and len(got) == 2 and any(k.startswith("row-") for k in got)
+    assert got == {"t1": "<gpx>\n</gpx>", "row-2": "<gpx/>"}  # the place among all rows, from 1
+    (tmp_path / "d.csv").write_text('_id,name,gpx\n,empty,\n,none,<gpx/>\n')
+    both = {r.track_id for r in gpx.read_csv(spark, [str(tmp_path / "c.csv"), str(tmp_path / "d.csv")]).collect()}
+    assert both == {"t1", "row-2"}
     assert gpx.page(gpx.read_csv(spark, str(tmp_path / "c.csv")), 1, 5).count() == 1
 
 
+def test_an_empty_segment_parts_its_neighbours(spark):
+    point = '<trkpt lat="47" lon="8"><time>2024-01-01T{}:00:00Z</time></trkpt>'
+    body = "<gpx><trk><trkseg>" + point.format("10") + "</trkseg>{}<trkseg>" + point.format("12") + "</trkseg></trk></gpx>"
+    found = {}
+    for name, between in (("beside", ""), ("apart", "<trkseg/>")):
+        rows = gpx.parse(spark.createDataFrame([(name, body.format(between))], "track_id string, gpx string"))
+        found[name] = faults.inter_segment(ingestion.segment_summaries(gpx.raw_points(rows), gpx.structure(rows))).count()
+    assert found == {"beside": 1, "apart": 0}
+
+
 def test_documents_round_trip(spark, sf_dir, tmp_path):
     raw = binding.raw_points(spark, sf_dir)
     docs = documents.audit_documents(raw).persist()
@@ -74,10 +93,18 @@ def test_documents_round_trip(spark, sf_dir, tmp_path):
     one = json.loads(docs.orderBy("track_id").first().document)
     assert one["metadata"]["schema_version"] == "2.0.0" and set(one["audit"]) == {"ingestion", "temporal", "sampling", "motion", "elevation"}
     assert one["audit"]["temporal"]["counts"]["missing"] == len(one["audit"]["temporal"]["tag_index"]["missing"])
+    assert one["metadata"]["summary"]["total_point_count"] == one["audit"]["ingestion"]["counts"]["total"] and one["metadata"]["generated_at_utc"].endswith("Z")
+    assert set(one["audit"]["ingestion"]["context"]) == {"has_any_time", "has_waypoints", "has_routes", "multi_segment"}
+    alike = spark.createDataFrame([("a/b", "1"), ("a_b", "2"), ("a b", "3")], "track_id string, document string")
+    documents.write_documents(alike, str(tmp_path / "alike"), buckets=2)
+    assert {r.track_id: r.value for r in documents.read_documents(spark, str(tmp_path / "alike")).collect()} == {"a/b": "1", "a_b": "2", "a b": "3"}
+    assert documents.read_documents(spark, str(tmp_path / "alike")).select("name").distinct().count() == 3 and len(list((tmp_path / "alike").glob("bucket=*"))) <= 2
     documents.write_documents(docs, str(tmp_path / "audit"))
     assert documents.read_documents(spark, str(tmp_path / "audit")).count() == 15
     log = correction.correct(raw).persist()
     fixed = [json.loads(r.document) for r in documents.correction_documents(log, ingestion.accepted(raw)).collect()]
+    assert all(d["participation"]["mode"] and d["spine_intervals"] and d["segment_profiles"] for d in fixed)
+    assert any(d.get("boundary_classes") for d in fixed) and any(d.get("staged_edge_proposals") for d in fixed) and any(d.get("block_resolution") for d in fixed)
     assert all(d["partition_invariant"]["ok"] and d["partition_invariant"]["trusted"] == len(d.get("canonical_trusted_points") or []) for d in fixed)
     documents.write_deltas(sampling.time_deltas(sampling.edges(ingestion.accepted(raw))), str(tmp_path / "deltas"))
     assert spark.read.json(str(tmp_path / "deltas")).count() > 0

@@ -20,6 +20,8 @@ from .track_state import Params, Point, Segment, Track
 #: One row for each fact: entry says which (working, drop, excluded, annotation, rearrangement, proposal, pass, profile, error).
 LOG = "track_id long, entry string, seq long, gpx_index long, trk_seg_index int, kind string, stage string, details string"
 _COLUMNS = [c.split()[0] for c in LOG.split(", ")]
+#: How the error of a track begins whose points are not each in one part.
+PARTITION = "partition violated"
 _TAGS = ("below_anchor", "below_prev_valid", "non_adjacent_repeat", "adjacent_duplicate")
 
 
@@ -96,7 +98,7 @@ def correct_track(rows: pd.DataFrame, params: Params) -> pd.DataFrame:
         track.run()
         wrong = {k: v for k, v in track.violations().items() if v}
         if wrong:
-            raise ValueError(f"partition violated: {wrong}")
+            raise ValueError(f"{PARTITION}: {wrong}")
     except ValueError as e:
         add("error", 0, kind=str(e))
         return pd.DataFrame(out, columns=_COLUMNS)
@@ -154,7 +156,11 @@ def correct(raw: DataFrame, params: Params | None = None) -> DataFrame:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         return correct_track(rows, params)
 
-    return kept.unionByName(dropped).unionByName(rest.groupBy("track_id").applyInPandas(one, LOG))
+    keys = labelled.join(done, "track_id", "left_semi")
+    profiles = presegment.segment_profiles(temporal.segment_summary(keys), keys)
+    details = F.to_json(F.struct("coverage", "is_fully_reversed", "has_anomalies", "has_usable_times", F.lit(True).alias("idle"), F.lit(0).alias("iterations")))
+    profiles = profiles.select("track_id", F.lit("profile").alias("entry"), F.col("trk_seg_index").cast("long").alias("seq"), blank("long").alias("gpx_index"), "trk_seg_index", F.col("mode").alias("kind"), blank("string").alias("stage"), details.alias("details"))
+    return kept.unionByName(dropped).unionByName(profiles).unionByName(rest.groupBy("track_id").applyInPandas(one, LOG))
 
 
 def entries(log: DataFrame, entry: str) -> DataFrame:

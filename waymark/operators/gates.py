@@ -9,19 +9,35 @@ from pyspark.sql import functions as F
 from .presegment import KEYS, in_segment
 
 
+def _beyond(block: DataFrame, spine: DataFrame, bound: str, sign: int) -> DataFrame:
+    """For each block the nearest spine point before bound (sign 1) or after it (-1), and how many there are: one ordered pass over
+    the spine and the bounds of a segment together."""
+    at = lambda c: F.col(c) * sign
+    none = F.lit(None).cast("long")
+    events = block.select(*KEYS, at(bound).alias("t"), F.col("first_gpx").alias("block_first"), none.alias("s_ms"), none.alias("s_gpx"))
+    events = events.unionByName(spine.select(*KEYS, at("s_ms").alias("t"), none.alias("block_first"), "s_ms", "s_gpx"))
+    before = Window.partitionBy(*KEYS).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    spot = F.when(F.col("s_ms").isNotNull(), F.struct((F.col("s_ms") * sign).alias("o"), (F.col("s_gpx") * sign).alias("g")))
+    met = events.withColumns({"near": F.max(spot).over(before), "n": F.count("s_ms").over(before)}).filter("block_first is not null")
+    return met.select(*KEYS, F.col("block_first").alias("first_gpx"), F.when(F.col("near").isNotNull(), F.struct((F.col("near.o") * sign).alias("s_ms"), (F.col("near.g") * sign).alias("s_gpx"))).alias("near"), "n")
+
+
 def overlap_blocks(blocks: DataFrame, spine_points: DataFrame) -> DataFrame:
-    """blocks (inside their envelope) with status and the anchors on the spine: an equi join by segment, then aggregates over a range.
+    """blocks (inside their envelope) with status and the anchors on the spine.
 
     Status: overlap (not rising inside, no usable time, or a spine point between the anchors that is no member), no-bracket, socket-ok.
+    Members lie between a block's bounds, so the points beyond them are never its own; those between that are its own are counted by a join.
     """
     block = blocks.filter("not is_edge")
     s = spine_points.select(*KEYS, F.col("gpx_index").alias("s_gpx"), F.col("time_ms").alias("s_ms"))
-    met = block.join(s, KEYS, "left").withColumn("_own", F.coalesce(F.array_contains("members", F.col("s_gpx")), F.lit(False)))
-    spot = F.struct("s_ms", "s_gpx")
-    below, above = ~F.col("_own") & (F.col("s_ms") < F.col("b_min")), ~F.col("_own") & (F.col("s_ms") > F.col("b_max"))
-    out = met.groupBy(*KEYS, "first_gpx").agg(
-        *(F.first(c).alias(c) for c in ("last_gpx", "violation", "b_min", "b_max")), F.max(F.when(below, spot)).alias("_prev"), F.min(F.when(above, spot)).alias("_next"),
-        F.coalesce(F.bool_or(~F.col("_own") & F.col("s_ms").between(F.col("b_min"), F.col("b_max"))), F.lit(False)).alias("_inside"))
+    below = _beyond(block, s, "b_min", 1).select(*KEYS, "first_gpx", F.col("near").alias("_prev"), F.col("n").alias("_below"))
+    above = _beyond(block, s, "b_max", -1).select(*KEYS, "first_gpx", F.col("near").alias("_next"), F.col("n").alias("_above"))
+    own = block.select(*KEYS, "first_gpx", F.explode("members").alias("s_gpx")).join(s, [*KEYS, "s_gpx"]).groupBy(*KEYS, "first_gpx").agg(F.count("*").alias("_own"))
+    every = s.groupBy(*KEYS).agg(F.count("*").alias("_all"))
+    keys = [*KEYS, "first_gpx"]
+    out = block.select(*keys, "last_gpx", "violation", "b_min", "b_max").join(below, keys, "left").join(above, keys, "left").join(own, keys, "left").join(every, KEYS, "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = out.withColumn("_inside", F.col("b_min").isNotNull() & (number("_all") - number("_below") - number("_above") - number("_own") > 0))
     known = ~F.col("violation") & F.col("b_min").isNotNull()
     both = F.col("_prev").isNotNull() & F.col("_next").isNotNull()
     status = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import motion, temporal
+from .correction import PARTITION
 
 
 def anomalies(temporal_counts: DataFrame, motion_counts: DataFrame) -> DataFrame:
@@ -21,14 +22,16 @@ def segment_days(ranges: DataFrame) -> DataFrame:
 
 
 def corpus_summary(counts: DataFrame, found: DataFrame, log: DataFrame) -> DataFrame:
-    """One row: tracks, clean ones, ones with anomalies, of several segments, in which correction dropped or excluded points, with errors."""
+    """One row: tracks, clean ones, ones with anomalies, of several segments, in which correction dropped or excluded points, in which it
+    lost or doubled a point (partition_failures), and with other errors."""
     odd = found.groupBy("track_id").agg(F.lit(True).alias("odd"))
     acted = log.filter("entry in ('drop', 'excluded')").groupBy("track_id").agg(F.lit(True).alias("acted"))
-    failed = log.filter("entry = 'error'").groupBy("track_id").agg(F.lit(True).alias("failed"))
+    torn = F.coalesce(F.col("kind").startswith(PARTITION), F.lit(False))
+    failed = log.filter("entry = 'error'").groupBy("track_id").agg(F.max(F.when(torn, True)).alias("torn"), F.max(F.when(~torn, True)).alias("failed"))
     out = counts.select("track_id", "multi_segment").join(odd, "track_id", "left").join(acted, "track_id", "left").join(failed, "track_id", "left")
     return out.agg(
         F.count("*").alias("tracks"), F.count_if(F.col("odd").isNull()).alias("clean"), F.count("odd").alias("with_anomalies"), F.count_if("multi_segment").alias("multi_segment"),
-        F.count("acted").alias("acted"), F.count("failed").alias("failed"))
+        F.count("acted").alias("acted"), F.count("torn").alias("partition_failures"), F.count("failed").alias("failed"))
 
 
 def correction_summary(log: DataFrame) -> DataFrame:

@@ -91,12 +91,12 @@ def sorted_runs(a: Column) -> Column:
 
 def sequential_count(b: Column) -> Column:
     """How many clusters an array has in its own order; while a cluster's median is 0 everything joins it."""
-    begin = F.struct(F.lit(1).alias("i"), F.lit(0).alias("s"), F.lit(1).cast("long").alias("k"))
+    begin = F.struct(F.slice(b, 1, 1).alias("run"), F.lit(1).cast("long").alias("k"))
 
     def step(acc, x):
-        run = F.array_sort(F.slice(b, acc["s"] + 1, acc["i"] - acc["s"]))
-        joins = F.coalesce(_joins(x, _run_median(run, F.lit(0), acc["i"] - acc["s"])), F.lit(True))
-        return F.struct((acc["i"] + 1).alias("i"), F.when(joins, acc["s"]).otherwise(acc["i"]).alias("s"), (acc["k"] + F.when(joins, 0).otherwise(1)).alias("k"))
+        joins = F.coalesce(_joins(x, _run_median(acc["run"], F.lit(0), F.size(acc["run"]))), F.lit(True))
+        # the running cluster stays in order: one more value at its end is sorted in by a merge
+        return F.struct(F.when(joins, F.sort_array(F.concat(acc["run"], F.array(x)))).otherwise(F.array(x)).alias("run"), (acc["k"] + F.when(joins, 0).otherwise(1)).alias("k"))
 
     return F.aggregate(F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), begin, step, lambda acc: acc["k"])
 

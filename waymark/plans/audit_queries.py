@@ -72,6 +72,20 @@ def query(name: str, oracle: str | None):
 _KEPT: dict = {}
 
 
+def _state(spark, sf_dir):
+    """The application and the input as it is now: another write of the folder makes other relations."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return spark.sparkContext.applicationId, sf_dir, at.getModificationTime(), at.getLen()
+
+
+def forget() -> None:
+    """Let go of all kept relations, so that the next query starts from its files."""
+    for df in _KEPT.values():
+        df.unpersist()
+    _KEPT.clear()
+
+
 def kept(make):
     """make(spark, sf_dir), kept by Spark (memory, then disk) for the queries that share it.
 
@@ -81,7 +95,7 @@ def kept(make):
 
     @wraps(make)
     def of(spark, sf_dir):
-        key = spark.sparkContext.applicationId, sf_dir, make.__module__, make.__name__
+        key = *_state(spark, sf_dir), make.__module__, make.__name__
         df = _KEPT.get(key)
         if df is None:
             df = _KEPT[key] = make(spark, sf_dir)
@@ -97,7 +111,7 @@ def stored(make):
 
     @wraps(make)
     def of(spark, sf_dir):
-        key = spark.sparkContext.applicationId, sf_dir, make.__module__, make.__name__
+        key = *_state(spark, sf_dir), make.__module__, make.__name__
         if key not in _KEPT:
             _KEPT[key] = written(make(spark, sf_dir), make.__name__)
         return _KEPT[key]
@@ -110,6 +124,10 @@ def raw(spark, sf_dir):
     return binding.raw_points(spark, sf_dir).sortWithinPartitions("track_id", "trk_seg_index", "gpx_index")
 
 
+def structure(spark, sf_dir):
+    return binding.structure(raw(spark, sf_dir))
+
+
 def points(spark, sf_dir):
     return ingestion.accepted(raw(spark, sf_dir))
 
@@ -123,11 +141,16 @@ query("ing_accepted_points", sql("select track_id, gpx_index, trk_seg_index, lat
 query("ing_rejections", sql("""select track_id, gpx_index, trk_seg_index, case when lat is null then 'not_a_number' else 'out_of_range' end as reason_code
 from raw where lat is null or not (lat between -90 and 90 and lon between -180 and 180)"""))(lambda s, d: ingestion.rejections(raw(s, d)))
 query("ing_counts", sql("""select track_id, count(*) as total, count(*) filter (where lat between -90 and 90) as valid, count(*) filter (where lat is null or lat > 90) as rejected,
-  count(distinct trk_seg_index) as segments, coalesce(bool_or(not time_absent) filter (where lat between -90 and 90), false) as has_any_time, count(distinct trk_seg_index) > 1 as multi_segment
-from raw group by track_id"""))(lambda s, d: ingestion.counts(raw(s, d)))
+  any_value(n) as segments, any_value(waypoints) as waypoints, any_value(routes) as routes, coalesce(bool_or(not time_absent) filter (where lat between -90 and 90), false) as has_any_time,
+  any_value(waypoints) > 0 as has_waypoints, any_value(routes) > 0 as has_routes, any_value(n) > 1 as multi_segment
+from raw join (select track_id, count(*) as n from segs group by 1) using (track_id) join spots using (track_id) group by track_id"""))(lambda s, d: ingestion.counts(raw(s, d), structure(s, d)))
 query("ing_segment_boundaries", sql("""select track_id, trk_seg_index, min(gpx_index) as first_gpx, max(gpx_index) as last_gpx, arg_min_null(time_ms, gpx_index) as first_ms, arg_max_null(time_ms, gpx_index) as last_ms,
   min(time_ms) as min_ms, max(time_ms) as max_ms from pts group by track_id, trk_seg_index"""))(lambda s, d: ingestion.segment_boundaries(points(s, d)))
-query("ing_segment_summaries", sql("select * from summ", SUMMARIES))(lambda s, d: ingestion.segment_summaries(raw(s, d)))
+query("ing_segment_summaries", sql("""select track_id, trk_seg_index, g.track_index, coalesce(point_count, 0) as point_count, coalesce(usable_time_count, 0) as usable_time_count,
+  first_ms, last_ms, min_ms, max_ms, first_lat, first_lon, last_lat, last_lon from segs g left join summ using (track_id, trk_seg_index)""", SUMMARIES))(lambda s, d: ingestion.segment_summaries(raw(s, d), structure(s, d)))
+query("ing_segment_times", sql("""select track_id, trk_seg_index, coalesce(string_agg(time_ms, ',' order by gpx_index) filter (where time_ms is not null), '') as times
+from segs left join raw using (track_id, trk_seg_index) group by 1, 2"""))(
+    lambda s, d: ingestion.segment_times(raw(s, d), structure(s, d)).withColumn("times", F.array_join(F.transform("times", lambda t: t.cast("string")), ",")))
 
 FLT_INTRA = """
 fin as (
@@ -149,11 +172,11 @@ fle as (
     case when type = 'missing_chunk_fault' then far end as implied_m, case when type = 'missing_chunk_fault' then round(far / 1000 / (gap_ms / 3600000.0), 1) end as implied_kph
   from fle2 where type is not null)"""
 query("flt_intra_segment", sql("select * from fin where violating_ms < preceding_ms", FLT_INTRA))(lambda s, d: faults.intra_segment(raw(s, d)))
-query("flt_inter_segment", sql("select * from fle", SUMMARIES, FLT_INTER))(lambda s, d: faults.inter_segment(ingestion.segment_summaries(raw(s, d))))
+query("flt_inter_segment", sql("select * from fle", SUMMARIES, FLT_INTER))(lambda s, d: faults.inter_segment(ingestion.segment_summaries(raw(s, d), structure(s, d))))
 query("flt_all", sql("""select track_id, trk_seg_index, position, preceding_ms, violating_ms, 'intra_segment_fault' as type, null::int as track_index, null::int as from_seg, null::int as to_seg, null::varchar as severity, null::double as confidence,
   null::bigint as gap_ms, null::bigint as offset_hours, null::bigint as overlap_end_ms, null::double as implied_m, null::double as implied_kph from fin where violating_ms < preceding_ms
 union all select track_id, null, null, null, null, type, track_index, from_seg, to_seg, severity, confidence, gap_ms, offset_hours, overlap_end_ms, implied_m, implied_kph from fle""", SUMMARIES, FLT_INTRA, FLT_INTER))(
-    lambda s, d: faults.all_faults(raw(s, d), ingestion.segment_summaries(raw(s, d))))
+    lambda s, d: faults.all_faults(raw(s, d), ingestion.segment_summaries(raw(s, d), structure(s, d))))
 
 LABEL_COLUMNS = ("track_id", "gpx_index", *temporal.TAGS, "anchor_ms", "depth_ms", "first_gpx")
 query("tmp_labels", sql(f"select {', '.join(LABEL_COLUMNS)} from lab", LABELS))(lambda s, d: temporal.labels(points(s, d)).select(*LABEL_COLUMNS))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ingestion
+
 SEGMENT = 25
 
 #: SQL (DuckDB) of the relations `raw` (all points) and `pts` (accepted points), to follow WITH.
@@ -32,10 +34,24 @@ raw as (
     case when event_id % 23 = 0 or event_id % 29 = 0 then null
          when user_id % 3 = 0 then (us // 21600000000) * 21600000 else (us // 6000000000) * 6000000 end as time_ms
   from bnd_q),
-pts as (select * from raw where lat between -90 and 90 and lon between -180 and 180)
+pts as (select * from raw where lat between -90 and 90 and lon between -180 and 180),
+segs as (
+  select distinct track_id, trk_seg_index, track_index from raw
+  union all select track_id, max(trk_seg_index) + 1, max(track_index) from raw where track_id % 4 = 1 group by track_id),
+spots as (select track_id, track_id % 3 as waypoints, track_id % 2 as routes from raw group by track_id)
 """
 
 
+def structure(raw: DataFrame) -> DataFrame:
+    """Segments (every fourth track ends with an empty one), waypoints and routes of the tracks of raw points."""
+    tracks = raw.groupBy("track_id").agg(F.max("trk_seg_index").alias("last"), F.max("track_index").alias("track_index"))
+    none = F.lit(None).cast("int")
+    empty = tracks.filter("track_id % 4 = 1").select("track_id", F.lit("trkseg").alias("kind"), (F.col("last") + 1).alias("trk_seg_index"), "track_index")
+    kinds = F.concat(F.array_repeat(F.lit("wpt"), (F.col("track_id") % 3).cast("int")), F.array_repeat(F.lit("rte"), (F.col("track_id") % 2).cast("int")))
+    spots = tracks.select("track_id", F.explode(kinds).alias("kind"), none.alias("trk_seg_index"), none.alias("track_index"))
+    return ingestion.structure_of(raw).unionByName(empty).unionByName(spots)
+
+
 def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All points: track_id, gpx_index, trk_seg_index, track_index, lat, lon, ele, ele_absent, time_absent, time_ms."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

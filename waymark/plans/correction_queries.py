@@ -5,11 +5,12 @@ Queries on proposals are those of a first pass over the accepted points, which n
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import apply, correction, gates, ingestion, motion, phases, presegment, proposals, report, sampling, temporal
 from ..operators import spine as spines
-from .audit_queries import COUNTS, EDGES, HAVERSINE, LABELS, MOTION, MOTION_COUNTS, PAIRS, SUMMARIES, _round, points, raw, sql, steps, stored
+from .audit_queries import COUNTS, EDGES, HAVERSINE, LABELS, MOTION, MOTION_COUNTS, PAIRS, SUMMARIES, _round, points, raw, sql, steps, stored, structure
 from .audit_queries import query as _register
 
 QUERIES: dict = {}
@@ -345,10 +346,29 @@ def correction_log(s, d):
 
 
 query("correct_full", None)(lambda s, d: correction.correct(raw(s, d)))
-query("correct_partition", sql("select track_id, count(*) as ingested from pts group by 1"))(lambda s, d: correction.partition(correction.correct(raw(s, d))).filter("ok").select("track_id", "ingested"))
+query("correct_partition", None)(lambda s, d: correction.partition(correction.correct(raw(s, d))))
+
+
+def calm(s, d):
+    """Segments whose own labels and steps are clean, each as a track: what correction finishes without its grouped step, among others that it does not."""
+    odd = raw(s, d).withColumn("track_id", F.col("track_id") * 1_000_000 + F.col("trk_seg_index"))
+    late = F.max("time_ms").over(Window.partitionBy("track_id").orderBy("gpx_index").rowsBetween(Window.unboundedPreceding, -1))
+    return odd.withColumn("_late", late).filter("time_ms is null or _late is null or time_ms >= _late or track_id % 3 = 0").drop("_late")
+
+
+query("correct_finished", sql("""select track_id, count(*) as ingested, count(d.g) as drops, 0::bigint as excluded, count(*) - count(d.g) as working, count(*) - count(d.g) as trusted, true as ok
+from pts p join done using (track_id) left join (select track_id as t, gpx_index as g from drp) d on d.t = p.track_id and d.g = p.gpx_index group by 1""", """
+raw_all as (select * from raw),
+calm0 as (select * replace (track_id * 1000000 + trk_seg_index as track_id) from raw_all),
+calm as (select * exclude (late) from (select *, max(time_ms) over (partition by track_id order by gpx_index rows between unbounded preceding and 1 preceding) as late from calm0)
+  where time_ms is null or late is null or time_ms >= late or track_id % 3 = 0)""", *(x.replace("from pts", "from calm_pts").replace("join pts", "join calm_pts") for x in ("calm_pts as (select * from calm where lat between -90 and 90 and lon between -180 and 180)", *STAGES)), """
+split2 as (select distinct track_id, trk_seg_index from (select track_id, trk_seg_index from w2 where time_ms > 0 group by track_id, trk_seg_index, time_ms having min(lat) <> max(lat) or min(lon) <> max(lon))),
+done as (select s.track_id from segsum s left join split2 sp on sp.track_id = s.track_id and sp.trk_seg_index = s.trk_seg_index group by 1
+  having bool_and(below_anchor = 0 and below_prev_valid = 0 and non_adjacent_repeat = 0 and positive_pairs = pairs and sp.track_id is null))""").replace("from pts p join done", "from calm_pts p join done"))(
+    lambda s, d: (lambda r: correction.partition(correction.correct(r)).join(correction.finished_tracks(temporal.labels(ingestion.accepted(r))), "track_id", "left_semi"))(calm(s, d)))
 query("correct_trusted_points", None)(lambda s, d: correction.trusted_points(correction_log(s, d), points(s, d)))
 query("rpt_correction_summary", None)(lambda s, d: report.correction_summary(correction_log(s, d)))
-query("rpt_corpus_summary", None)(lambda s, d: report.corpus_summary(ingestion.counts(raw(s, d)), report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))), correction_log(s, d)))
+query("rpt_corpus_summary", None)(lambda s, d: report.corpus_summary(ingestion.counts(raw(s, d), structure(s, d)), report.anomalies(temporal.tag_counts(labelled(s, d)), motion.tag_counts(motion.pair_flags(steps(s, d)))), correction_log(s, d)))
 
 query("cor_participation_without_audit", sql("""select track_id, case when ts = 0 or pos = 0 then 'geometry-only' when cov < 0.8 then 'timestamp-sparse' else 'full' end as mode, cov as coverage,
   case when ts = 0 then 'no-parseable-timestamps' when pos = 0 then 'all-timestamps-uniform' when cov < 0.8 then 'insufficient-pair-coverage' end as reason

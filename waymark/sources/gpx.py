@@ -90,6 +90,11 @@ def raw_points(rows: DataFrame) -> DataFrame:
         text_or_null("raw_time").alias("time_raw"), F.col("raw_time").isNull().alias("time_absent"), iso_millis("raw_time").alias("time_ms"), "raw_lat", "raw_lon", "raw_ele", "raw_time")
 
 
+def structure(rows: DataFrame) -> DataFrame:
+    """A row for each segment, also an empty one, waypoint and route of a document."""
+    return rows.filter("kind in ('trkseg', 'wpt', 'rte')").select("track_id", "kind", "trk_seg_index", "track_index")
+
+
 def rejection_text() -> Column:
     """The reason of a refused point in words."""
     quoted = lambda c: F.coalesce(F.col(c), F.lit("null"))
@@ -127,10 +132,13 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """track_id, gpx and the other columns of a CSV file with a header and a column gpx of many lines. Rows without a document are
-    left out; a row without _id is row-N by its place (N counts within partitions, as the rows of one file are in one)."""
+    left out; a row without _id is row-N by its place in its file, counted from 1 over all rows (a file of rows of many lines is read by one task,
+    so its rows have numbers in a row; where it begins is found by a first pass over the narrow columns)."""
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    rows = rows.withColumn("_n", F.monotonically_increasing_id()).filter(F.trim("gpx") != "")
-    rest = [c for c in rows.columns if c not in ("_id", "gpx", "_n", "track_id")]
+    rows = rows.withColumns({"_n": F.monotonically_increasing_id(), "_file": F.input_file_name()})
+    begins = rows.groupBy("_file").agg(F.min("_n").alias("_begin"))
+    rest = [c for c in rows.columns if c not in ("_id", "gpx", "_n", "_file", "track_id")]
+    rows = rows.filter(F.trim("gpx") != "").join(begins, "_file").withColumn("_n", F.col("_n") - F.col("_begin") + 1)
     return rows.select(F.coalesce(text_or_null("_id"), F.concat(F.lit("row-"), F.col("_n").cast("string"))).alias("track_id"), "gpx", *rest)
 
 
