@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from heapq import heappop, heappush, heappushpop
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +93,29 @@ def sorted_runs(a: Column) -> Column:
     return F.aggregate(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), begin, step, lambda acc: acc["starts"])
 
 
+def _sequential(values: Iterable[float]) -> int:
+    """How many clusters values have in their own order. The running cluster is two heaps that meet at its median, so a track of n
+    steps takes n log n, not a sort of the cluster at every step."""
+    k, low, high = 1, [], []
+    for x in values:
+        if low:
+            center = (high[0] - low[0]) / 2 if len(low) == len(high) else -low[0]
+            if center > 0 and not abs(x - center) / center < ALPHA:
+                k, low, high = k + 1, [], []
+        heappush(low, -heappushpop(high, x))
+        if len(low) > len(high) + 1:
+            heappush(high, -heappop(low))
+    return k
+
+
 def sequential_count(b: Column) -> Column:
-    """How many clusters an array has in its own order; while a cluster's median is 0 everything joins it."""
-    begin = F.struct(F.slice(b, 1, 1).alias("run"), F.lit(1).cast("long").alias("k"))
+    """How many clusters an array has in its own order; while a cluster's median is 0 everything joins it. An empty array has one."""
 
-    def step(acc, x):
-        joins = F.coalesce(_joins(x, _run_median(acc["run"], F.lit(0), F.size(acc["run"]))), F.lit(True))
-        # the running cluster stays in order: one more value at its end is sorted in by a merge
-        return F.struct(F.when(joins, F.sort_array(F.concat(acc["run"], F.array(x)))).otherwise(F.array(x)).alias("run"), (acc["k"] + F.when(joins, 0).otherwise(1)).alias("k"))
+    @F.pandas_udf("long")
+    def count(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda values: _sequential(values.tolist())).astype("int64")
 
-    return F.aggregate(F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), begin, step, lambda acc: acc["k"])
+    return count(b)
 
 
 def _series(deltas: DataFrame, value: str) -> DataFrame:
