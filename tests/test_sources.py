@@ -1,5 +1,7 @@
 import json
+import math
 
+import duckdb
 import pytest
 
 from waymark.operators import correction, elevation, faults, ingestion, motion, sampling, temporal
@@ -86,6 +88,15 @@ def test_an_empty_segment_parts_its_neighbours(spark):
     assert found == {"beside": 1, "apart": 0}
 
 
+def test_implied_speed_is_rounded_as_in_sql(spark):
+    pairs = [(gap, m) for gap in (*range(6_000_000, 43_000_000, 6_000_000), 21_600_000) for m in range(0, 3000, 50)]
+    rows = [(t, 0, seg, seg * gap, seg * gap, lat, 0.0, lat, 0.0) for t, (gap, m) in enumerate(pairs) for seg, lat in ((0, 0.0), (1, math.degrees(m / 6_371_000)))]
+    summaries = spark.createDataFrame(rows, "track_id long, track_index int, trk_seg_index int, first_ms long, last_ms long, first_lat double, first_lon double, last_lat double, last_lon double")
+    got = {(r.gap_ms, r.implied_m): r.implied_kph for r in faults.inter_segment(summaries).collect()}
+    sql = "select round(m / 1000 / (gap / 3600000.0), 1) from (select ?::bigint as gap, ?::double as m)"
+    assert got == {p: duckdb.execute(sql, p).fetchone()[0] for p in pairs} and got[6_000_000, 750] == 0.5
+
+
 def test_documents_round_trip(spark, sf_dir, tmp_path):
     raw = binding.raw_points(spark, sf_dir)
     docs = documents.audit_documents(raw).persist()

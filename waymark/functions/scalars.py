@@ -30,6 +30,11 @@ def speed_kph(lat1, lon1, t1, lat2, lon2, t2) -> Column:
     )
 
 
+def scaled_round(x: Column, digits: int) -> Column:
+    """x to so many digits as DuckDB does it: the scaled double is rounded. F.round reads the decimal digits of x, so 0.75 / (5 / 3), a hair below 0.45, would become 0.4 and not 0.5."""
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def leading_number(text: str | Column) -> Column:
     """The number that a text starts with, as a double; null if it starts with none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MS_PER_HOUR, haversine_m
+from ..functions.scalars import MS_PER_HOUR, haversine_m, scaled_round
 
 MISSING_CHUNK_MS, ZONE_TOLERANCE = 30 * 60_000, 0.1
 
@@ -39,7 +39,7 @@ def inter_segment(summaries: DataFrame, missing_ms: int = MISSING_CHUNK_MS, tole
         by_type(timestamp_discontinuity=0.9, duplicate_chunk=0.95, chunk_ordering=1.0, missing_chunk=0.85).alias("confidence"), "gap_ms",
         F.when(F.col("type") == "timestamp_discontinuity_fault", hours.cast("long")).alias("offset_hours"),
         F.when(F.col("type") == "duplicate_chunk_fault", F.least("last_ms", "next_last_ms")).alias("overlap_end_ms"),
-        F.when(missing, far).alias("implied_m"), F.when(missing, F.round(far / 1000 / (gap / MS_PER_HOUR), 1)).alias("implied_kph"))
+        F.when(missing, far).alias("implied_m"), F.when(missing, scaled_round(far / 1000 / (gap / MS_PER_HOUR), 1)).alias("implied_kph"))
 
 
 def all_faults(raw: DataFrame, summaries: DataFrame) -> DataFrame:
