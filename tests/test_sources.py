@@ -97,6 +97,12 @@ def test_implied_speed_is_rounded_as_in_sql(spark):
     assert got == {p: duckdb.execute(sql, p).fetchone()[0] for p in pairs} and got[6_000_000, 750] == 0.5
 
 
+def test_all_faults_have_the_same_speed(spark):
+    points = [(1, g, g, 0, math.degrees(750 * g / 6_371_000), 0.0, 0.0, False, False, 6_000_000 * g) for g in (0, 1)]
+    raw = spark.createDataFrame(points, "track_id long, gpx_index long, trk_seg_index int, track_index int, lat double, lon double, ele double, ele_absent boolean, time_absent boolean, time_ms long")
+    assert [(r.type, r.implied_m, r.implied_kph) for r in faults.all_faults(raw, ingestion.segment_summaries(raw)).collect()] == [("missing_chunk_fault", 750.0, 0.5)]
+
+
 def test_documents_round_trip(spark, sf_dir, tmp_path):
     raw = binding.raw_points(spark, sf_dir)
     docs = documents.audit_documents(raw).persist()
