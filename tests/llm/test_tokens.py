@@ -53,6 +53,31 @@ def test_special_strings_and_small_caches(monkeypatch):
     assert len(small.ids) <= 3
 
 
+class Counted:
+    """The tokenizer, with the number of texts that it was given in batches."""
+
+    def __init__(self):
+        self.texts = 0
+
+    def encode(self, *a, **b):
+        return TOKENIZER.encode(*a, **b)
+
+    def encode_batch_fast(self, texts, **b):
+        self.texts += len(texts)
+        return TOKENIZER.encode_batch_fast(texts, **b)
+
+
+def test_new_words_go_to_the_tokenizer_as_lines():
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}é, it's" for k in range(5000))
+    encoder, marked = tokens.WordEncoder(PATH), Counted()
+    encoder.tokenizer = marked
+    assert encoder.encode([text, "", text]) == [ids_of(text).tobytes(), b"", ids_of(text).tobytes()]
+    assert 0 < marked.texts < 20
+    plain = tokens.WordEncoder(PATH)
+    plain.ends = np.zeros_like(plain.ends)  # a tokenizer that marks no ends of words: each word alone
+    assert plain.encode([text])[0] == ids_of(text).tobytes()
+
+
 def test_single_documents_and_files(spark, docs, texts, monkeypatch):
     folder = table_path(spark, "tokens")
     manifest = tokens.write_corpus(docs, folder, PATH).collect()

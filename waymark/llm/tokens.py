@@ -13,15 +13,18 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,6 +45,8 @@ READ_BYTES = 128 << 20
 #: Words kept with their ids in each Python worker, first come; frequent words come early.
 WORDS_KEPT = 900_000
 END_ID = 1
+#: Bytes of text that are encoded at a time, about.
+ENCODED_BYTES = 4 << 20
 
 #: Text of these characters alone is cut into words here, as the tokenizer's own normalizer and pattern would cut it.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
@@ -56,35 +61,75 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def _word_ends(path: str) -> np.ndarray:
+    """For every id whether its token ends a word; all False for a tokenizer that marks no ends."""
+    tokenizer = _tokenizer(path)
+    suffix, vocabulary = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix"), tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+    return ends
+
+
 class WordEncoder:
-    """Ids of texts as little-endian u32 bytes. Chunks between blanks and words in them are looked up; new words go to the tokenizer together."""
+    """Ids of texts as little-endian u32 bytes. Chunks between blanks are numbered by Arrow and looked up once for a call, their ids dealt out by
+    those numbers; words that are new in them go to the tokenizer together."""
 
     def __init__(self, path: str, kept: int | None = None):
-        self.tokenizer, self.ids, self.kept = _tokenizer(path), {}, WORDS_KEPT if kept is None else kept
+        self.tokenizer, self.ends, self.ids, self.kept = _tokenizer(path), _word_ends(path), {}, WORDS_KEPT if kept is None else kept
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word. Words go to the tokenizer as lines of many, cut where its tokens end words; a line that has not as many ends is encoded word by word."""
+        lines = [words[at : at + 512] for at in range(0, len(words), 512)]
+        for at in range(0, len(lines), 16):
+            some = lines[at : at + 16]
+            for line, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                last = np.flatnonzero(self.ends[ids]) + 1
+                if len(last) == len(line) and last[-1] == len(ids):
+                    body, last = ids.tobytes(), (last * 4).tolist()
+                    yield from (body[i:j] for i, j in zip([0, *last], last))
+                else:
+                    yield from (self._encoded(w).tobytes() for w in line)
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of some different chunks; new words and chunks are kept as long as there is room."""
+        found = list(map(self.ids.get, chunks))
+        new = [k for k, x in enumerate(found) if x is None]
+        parts = [_WORD.findall(chunks[k]) for k in new]
+        words = list({w for p in parts for w in p}.difference(self.ids))
+        fresh = dict(zip(words, self._words(words)))
+        known = lambda w: fresh[w] if w in fresh else self.ids[w]
+        for k, p in zip(new, parts):
+            found[k] = known(p[0]) if len(p) == 1 else b"".join(map(known, p))
+        room = max(0, self.kept - len(self.ids))
+        self.ids.update(islice(fresh.items(), room))
+        room = max(0, self.kept - len(self.ids))
+        self.ids.update(islice(((chunks[k], found[k]) for k, p in zip(new, parts) if len(p) != 1), room))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        ids = self.ids
-        cut = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        fresh: set[str] = set()
-        for chunks in cut:
-            if chunks:
-                fresh.update(set(chunks).difference(ids))
-        new = list(fresh)
-        parts = list(map(_WORD.findall, new))
-        words = {w for p in parts for w in p}.difference(ids)
-        kept = max(0, self.kept - len(ids))
-        words = list(words)
-        for at in range(0, len(words), 8192):
-            some = words[at : at + 8192]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = ids.__getitem__
-        for chunk, p in zip(new, parts):
-            if len(p) != 1:
-                ids[chunk] = b"".join(map(get, p))
-        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut)]
-        for w in (words + new)[kept:]:
-            ids.pop(w, None)
+        plain = [i for i, t in enumerate(texts) if "<|" not in t and _PLAIN.fullmatch(t)]
+        cut = pa.compute.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        numbered = cut.values.dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        found = self._chunks(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        # place of every id among those of the different chunks: its chunk's own place, and onwards from there (32 bits do, as a call has under 2 GB of text)
+        place = np.repeat(((np.cumsum(sizes) - sizes)[codes] - (ends - size)).astype("<i4"), size)
+        place += np.arange(len(place), dtype="<i4")
+        ids = np.frombuffer(b"".join(found), "<u4")[place]
+        bounds = np.append(0, ends)[cut.offsets.to_numpy()].tolist()
+        out = [b""] * len(texts)
+        for i, start, end in zip(plain, bounds, bounds[1:]):
+            out[i] = ids[start:end].tobytes()
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self._encoded(texts[i]).tobytes()
         return out
 
 
@@ -96,7 +141,7 @@ def _encoder(path: str, kept: int) -> WordEncoder:
 def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, kept: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     pa.default_memory_pool().release_unused()  # a worker may have served other operators before
     end, encoder = struct.pack("<I", end_id), _encoder(tokenizer, kept)
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", ENCODED_BYTES):
         yield batch.column("doc_id"), [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
 
 
