@@ -73,10 +73,14 @@ _KEPT: dict = {}
 
 
 def _state(spark, sf_dir):
-    """The application and the input as it is now: another write of the folder makes other relations."""
+    """The application and the input as it is now: another write of the folder makes other relations. Those of the write before are let go of, as Spark tells
+    what it caches apart by path alone and would read their rows for the new ones."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-    return spark.sparkContext.applicationId, sf_dir, at.getModificationTime(), at.getLen()
+    state = spark.sparkContext.applicationId, at.getPath().toString(), at.getModificationTime(), at.getLen()
+    for key in [k for k in _KEPT if k[:2] == state[:2] and k[2:4] != state[2:]]:
+        _KEPT.pop(key).unpersist()
+    return state
 
 
 def forget() -> None:
